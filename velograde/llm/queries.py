@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velograde.llm import exact_dedup, mixing, token_files
+from velograde.llm import exact_dedup, mixing, quality, token_files
 
 
 def _tokenizer() -> str:
@@ -31,7 +31,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(_read(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = quality.training_labels(_read(spark, sf_dir, "labels"), "quality", 4, 2)
+    return quality.decide(quality.score(_read(spark, sf_dir, "documents"), labels), 4, 2)
+
+
 QUERIES = {
+    "op7_quality": op7_quality,
     "op6_token_files": op6_token_files,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
