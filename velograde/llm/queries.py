@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velograde.llm import exact_dedup, mixing, quality, token_files
+from velograde.llm import exact_dedup, mixing, quality, token_files, toxicity
 
 
 def _tokenizer() -> str:
@@ -36,7 +36,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.decide(quality.score(_read(spark, sf_dir, "documents"), labels), 4, 2)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = quality.training_labels(_read(spark, sf_dir, "labels"), "toxic", 3, 1)
+    return quality.decide(toxicity.score(_read(spark, sf_dir, "documents"), labels), 3, 1)
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op7_quality": op7_quality,
     "op6_token_files": op6_token_files,
     "op9_exact_dedup": op9_exact_dedup,
