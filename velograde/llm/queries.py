@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velograde.llm import exact_dedup, mixing, quality, token_files, toxicity
+from velograde.llm import exact_dedup, mixing, near_dedup, quality, token_files, toxicity
 
 
 def _tokenizer() -> str:
@@ -41,7 +41,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.decide(toxicity.score(_read(spark, sf_dir, "documents"), labels), 3, 1)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_near_dedup": op3_near_dedup,
     "op1_toxicity": op1_toxicity,
     "op7_quality": op7_quality,
     "op6_token_files": op6_token_files,

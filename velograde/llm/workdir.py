@@ -7,6 +7,7 @@ executor costs a re-read, not a recomputation.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,3 +53,9 @@ def remove(spark: SparkSession, path: str) -> None:
 def rows_below(df: DataFrame, limit: int) -> bool:
     """Whether ``df`` has fewer than ``limit`` rows: the check before any broadcast hint."""
     return df.limit(limit).count() < limit
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done: it does so when the driver collects their objects."""
+    gc.collect()
+    spark._jvm.System.gc()
