@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velograde.llm import exact_dedup, mixing, near_dedup, quality, token_files, toxicity
+from velograde.llm import decontamination, exact_dedup, mixing, near_dedup, quality, token_files, toxicity
 
 
 def _tokenizer() -> str:
@@ -45,7 +45,12 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op5_decontamination": op5_decontamination,
     "op3_near_dedup": op3_near_dedup,
     "op1_toxicity": op1_toxicity,
     "op7_quality": op7_quality,
