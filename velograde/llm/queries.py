@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velograde.llm import decontamination, exact_dedup, mixing, near_dedup, quality, token_files, toxicity
+from velograde.llm import decontamination, exact_dedup, mixing, near_dedup, quality, secrets, token_files, toxicity
 
 
 def _tokenizer() -> str:
@@ -49,7 +49,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op2_secrets": op2_secrets,
     "op5_decontamination": op5_decontamination,
     "op3_near_dedup": op3_near_dedup,
     "op1_toxicity": op1_toxicity,
@@ -60,6 +65,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_secrets": secrets.ORACLE,
     "op9_exact_dedup": r"""
 WITH k AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
