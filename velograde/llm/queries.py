@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velograde.llm import decontamination, exact_dedup, mixing, near_dedup, quality, secrets, token_files, toxicity
+from velograde.llm import decontamination, exact_dedup, mixing, near_dedup, quality, secrets, token_files, toxicity, warc
 
 
 def _tokenizer() -> str:
@@ -53,7 +53,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_read(spark, sf_dir, "documents")))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op4_warc": op4_warc,
     "op2_secrets": op2_secrets,
     "op5_decontamination": op5_decontamination,
     "op3_near_dedup": op3_near_dedup,
@@ -65,6 +70,13 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_warc": """
+WITH k AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS refers_to FROM k WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id <> refers_to THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> refers_to THEN refers_to END AS refers_to
+FROM k LEFT JOIN f USING (payload_digest)""",
     "op2_secrets": secrets.ORACLE,
     "op9_exact_dedup": r"""
 WITH k AS (

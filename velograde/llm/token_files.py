@@ -36,13 +36,12 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from velograde.llm.textbytes import Chunk, chunks
-from velograde.llm.workdir import new_path, table
+from velograde.llm.workdir import new_path, open_dir, table
 from velograde.shipping import ship
 
 END_ID = 2
@@ -165,10 +164,6 @@ def encoder(path: str) -> SegmentEncoder:
     return _encoders[path]
 
 
-def open_dir(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def record(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
     payload = PAYLOAD.pack(doc_id or 0, doc_id is None, width, len(ids)) + ids.astype("<u2" if width == 2 else "<u4").tobytes()
     length = struct.pack("<Q", len(payload))

@@ -11,6 +11,7 @@ import gc
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
@@ -30,6 +31,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/velograde/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def open_dir(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder, for tasks that write files of their own format."""
+    return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
