@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velograde.llm import decontamination, exact_dedup, mixing, near_dedup, quality, secrets, token_files, toxicity, warc
+from velograde.llm import decontamination, exact_dedup, mixing, near_dedup, passages, quality, secrets, token_files, toxicity, warc
 
 
 def _tokenizer() -> str:
@@ -57,7 +57,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_passages": op8_passages,
     "op4_warc": op4_warc,
     "op2_secrets": op2_secrets,
     "op5_decontamination": op5_decontamination,
