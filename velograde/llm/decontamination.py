@@ -123,3 +123,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # Rows with one id are one document: it holds the item if one of them does.
     kept = judged.where("consistent").groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("matched").alias("matched"), F.max("verbatim").alias("verbatim"))
     return kept.withColumn("coverage", F.col("matched") / F.col("windows"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that hold no item of the benchmark, all columns."""
+    found = table(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_held")).distinct(), "benchmark-held")
+    if rows_below(found, BROADCAST_WINDOWS):
+        found = F.broadcast(found)
+    return docs.join(found, docs[id_col].eqNullSafe(found["_held"]), "left_anti")

@@ -19,7 +19,7 @@ bucket), so a source that holds a third of all rows is spread over many tasks.
 Defined cases: null texts have size 0 and are taken 0 times; a null source is a
 source of its own, last in order; null ids hash alike and are ordered by size;
 repeated rows are separate rows; an empty table yields no rows; a table without
-any word has targets 0; columns with other names are carried or ignored as asked.
+any word has targets 0; other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ BUCKETS = 1024
 LARGE = 500
 #: Targets, one row per source, are broadcast below so many rows; else they are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
+#: Passes (id and position) are broadcast below so many; else texts are shuffled to them.
+BROADCAST_PASSES = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -85,15 +87,15 @@ def demand_inverse(share: Column, slope: Column) -> Column:
     return F.least(F.lit(1.0), 2 * share / (b + F.sqrt(F.greatest(F.lit(0.0), b * b + 4 * slope * share))))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: int = CAP, slopes=SLOPES, buckets: int = BUCKETS, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: int = CAP, slopes=SLOPES, buckets: int = BUCKETS) -> DataFrame:
     """One row per document: id, source, size, source_size, target, repeats, taken, position.
 
     ``repeats`` is how often the mix takes the document, ``taken`` its words times
     that, ``position`` the training time of its first pass (null if never taken).
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(f"carried_{c}") for c in carry])
-    if not carry:  # counted once, not in each of the steps below
-        rows = table(rows, "mix-sizes")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    # Counted once, not in each of the steps below.
+    rows = table(rows, "mix-sizes")
     targets = source_targets(rows, weights, cap)
     if rows_below(targets, BROADCAST_SOURCES):
         targets = F.broadcast(targets)
@@ -121,10 +123,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return placed.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), position.alias("position"), slope.alias("slope"), (F.col("end") - F.col("size") / 2).alias("middle"), *[f"carried_{c}" for c in carry])
 
 
-def passes(mixed: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per pass over a document, range-sorted by training position."""
-    each = mixed.where("repeats > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("repeats") - 1)))
+def passes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents as often as the mix takes them, all columns and ``position``, range-sorted by training position.
+
+    Decisions are made on ids and sizes and then joined to the documents. Rows with one id are taken
+    equally often, as often as the one of them that is taken most.
+    """
+    mixed = mix(docs, id_col, text_col, source_col, **options).where("repeats > 0")
+    mixed = mixed.groupBy("doc_id").agg(F.max("repeats").alias("repeats"), F.min("middle").alias("middle"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("slope").alias("slope"))
+    each = mixed.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("repeats") - 1)))
     share = F.least(F.lit(1.0), (F.col("middle") + F.col("pass") * F.col("source_size")) / F.col("target"))
-    each = each.withColumn("position", demand_inverse(share, F.col("slope")))
-    keys = ["position", "doc_id", "pass"]
-    return each.select(*keys, "source", "size", *[F.col(f"carried_{c}").alias(c) for c in carry if c not in ("doc_id", "source", "size", "position", "pass")]).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    each = table(each.select(F.col("doc_id").alias("_taken"), demand_inverse(share, F.col("slope")).alias("_position")), "mix-passes")
+    if rows_below(each, BROADCAST_PASSES):
+        each = F.broadcast(each)
+    joined = docs.join(each, docs[id_col].eqNullSafe(each["_taken"])).drop("_taken")
+    return joined.repartitionByRange("_position", id_col).sortWithinPartitions("_position", id_col)

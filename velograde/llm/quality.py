@@ -235,7 +235,29 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.crc32(id_col.cast("string")) % folds
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def filtered(model: Model, column: int, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose text scores at least the threshold, as they are."""
+    for batch in batches:
+        for chunk in chunks(batch.column(column)):
+            keep = model.score(statistics(chunk).astype(np.float64)) >= threshold
+            yield batch.slice(chunk.first, chunk.docs).filter(pa.array(keep))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, all columns; without usable labels all rows.
+
+    Texts are read twice, to fit and to filter, and not shuffled.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    model = fit(table(rows.mapInArrow(stats_of, STATS), "quality-stats"), labels)
+    if model is None:
+        return docs
+    column = docs.columns.index(text_col)
+    return docs.mapInArrow(lambda b: filtered(model, column, threshold, b), docs.schema)
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every document by a model fitted on ``labels`` (doc_id, label)."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
