@@ -120,7 +120,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slope = F.element_at(F.array(*map(F.lit, slopes)), (F.col("rank") % len(slopes) + 1).cast("int"))
     share = F.when(F.col("target") > 0, F.least(F.lit(1.0), (F.col("end") - F.col("size") / 2) / F.col("target")))
     position = F.when(F.col("repeats") > 0, demand_inverse(share, slope))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), position.alias("position"), slope.alias("slope"), (F.col("end") - F.col("size") / 2).alias("middle"), *[f"carried_{c}" for c in carry])
+    return placed.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), position.alias("position"), slope.alias("slope"), (F.col("end") - F.col("size") / 2).alias("middle"))
 
 
 def passes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
