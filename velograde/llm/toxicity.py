@@ -37,7 +37,7 @@ from velograde.shipping import ship
 
 U = np.uint64
 #: Labelled rows of each kind that the fit reads, about.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 5000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 2000
 #: Lengths in bytes of the prefixes that are features.
 PREFIXES = (4, 5, 6, 7)
 BITS = 18
@@ -62,11 +62,11 @@ def features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 def slots(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Slots of the weight table: word, prefixes, the word before and the word after."""
-    own = (hashes >> U(64 - BITS)).astype(np.int64)
-    before = np.zeros(len(own), np.int64)
-    after = np.zeros(len(own), np.int64)
+    own = (hashes >> U(64 - BITS)).astype(np.int32)
+    before = np.zeros(len(own), np.int32)
+    after = np.zeros(len(own), np.int32)
     if len(own):
-        side = lambda h, salt: (mix(h ^ U(salt)) >> U(64 - BITS)).astype(np.int64)
+        side = lambda h, salt: (mix(h ^ U(salt)) >> U(64 - BITS)).astype(np.int32)
         before[1:] = side(hashes[:-1, 0], 0xB1)
         after[:-1] = side(hashes[1:, 0], 0xA7)
         inner = of[:-1][np.diff(of) > 0]
@@ -171,6 +171,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 1)
     owner = np.repeat(np.arange(len(toxic)), np.diff(of))
     tied = seeds(hashes, of, toxic, weight)
     at = slots(hashes, of)
+    del hashes, parts
     label = tied & (toxic[owner] > 0)
     # Segments that hold tied tokens, of either kind of document, and three times as many others.
     length = np.diff(of)
