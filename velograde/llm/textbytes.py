@@ -1,6 +1,6 @@
 """Vectorised work on the UTF-8 bytes of Arrow string columns.
 
-Documents of an Arrow batch are cut into chunks of a few megabytes; in a chunk
+Documents of an Arrow batch are cut into chunks of about a megabyte; in a chunk
 all words are found and hashed with NumPy, without a Python object per word.
 A word's hash is a polynomial of random byte codes modulo 2**64, taken from
 prefix sums, and then mixed; so any slice of the text (word, prefix) is hashed
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: A random odd code for each byte and a random odd base (its low bits 101 keep powers apart).
