@@ -1,4 +1,4 @@
-"""Send this package to the executors, whose Python workers import it by name."""
+"""Set an application up for Python tasks: send this package to the executors, bound Arrow batches."""
 
 from __future__ import annotations
 
@@ -10,6 +10,9 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Arrow batches are bounded by bytes: texts vary in length, and each task holds a batch in the JVM and in Python.
+BATCH_BYTES = "8m"
+
 
 def ship(spark: SparkSession) -> None:
     """Add the package's sources to the application's Python files, once per application."""
@@ -25,4 +28,5 @@ def ship(spark: SparkSession) -> None:
                     path = os.path.join(folder, name)
                     out.write(path, os.path.relpath(path, os.path.dirname(root)))
     context.addPyFile(target)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     _shipped.add(context.applicationId)
