@@ -190,5 +190,16 @@ def test_bands_reach_the_wanted_recall():
     assert passages.SPREAD + passages.WORDS - 1 <= passages.LEAST + 1
 
 
+def test_passages_are_aligned_by_the_shingle_that_is_shared(spark):
+    rng, vocab = random.Random(11), vocabulary(2000, 11)
+    fresh = lambda n: [rng.choice(vocab) for _ in range(n)]
+    rows = []
+    for _ in range(250):
+        p = fresh(51)
+        # In the second document an earlier part of the passage stands before it, too.
+        rows += [(len(rows), " ".join([*fresh(20), *p, *fresh(20)])), (len(rows) + 1, " ".join([*fresh(20), *p[:30], *fresh(3), *p, *fresh(20)]))]
+    assert {r["doc_id"] for r in passages.repeated(docs_of(spark, rows)).collect()} == {i for i, _ in rows}
+
+
 def test_no_passages_in_nothing(spark):
     assert passages.repeated(docs_of(spark, [])).count() == 0
