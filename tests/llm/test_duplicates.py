@@ -201,5 +201,25 @@ def test_passages_are_aligned_by_the_shingle_that_is_shared(spark):
     assert {r["doc_id"] for r in passages.repeated(docs_of(spark, rows)).collect()} == {i for i, _ in rows}
 
 
+def test_all_stretches_of_a_run_and_across_inserted_words_are_found(spark):
+    rng, vocab = random.Random(12), vocabulary(2000, 12)
+    fresh = lambda n: [rng.choice(vocab) for _ in range(n)]
+    rows, want = [], []
+    for _ in range(20):
+        p, q, r, t = fresh(60), fresh(90), fresh(80), fresh(90)
+        for one, other, lengths in (
+            ([*p, *fresh(25), *q], [*p, *fresh(25), *q], [60, 90]),
+            (r, [*r[:40], "more", *r[40:]], [80]),
+            (t, [*t[:45], *t[46:]], [89]),
+        ):
+            for x in (one, other):
+                want.append((len(rows), lengths))
+                rows.append((len(rows), " ".join([*fresh(20), *x, *fresh(20)])))
+    found = {}
+    for r in passages.repeated(docs_of(spark, rows)).collect():
+        found.setdefault(r["doc_id"], []).append(r["words"])
+    assert {k: sorted(v) for k, v in found.items()} == dict(want)
+
+
 def test_no_passages_in_nothing(spark):
     assert passages.repeated(docs_of(spark, [])).count() == 0
