@@ -221,5 +221,19 @@ def test_all_stretches_of_a_run_and_across_inserted_words_are_found(spark):
     assert {k: sorted(v) for k, v in found.items()} == dict(want)
 
 
+def test_passages_are_found_whatever_fragments_hold_their_values(spark):
+    rng, vocab = random.Random(13), vocabulary(2000, 13)
+    fresh = lambda n: [rng.choice(vocab) for _ in range(n)]
+    rows, want = [], set()
+    for _ in range(30):
+        p = fresh(70)
+        for k in range(22):
+            at = rng.randint(0, 25)
+            if k in (10, 11):
+                want.add(len(rows))
+            rows.append((len(rows), " ".join([*fresh(20), *(p if k in (10, 11) else p[at : at + 45]), *fresh(20)])))
+    assert {r["doc_id"] for r in passages.repeated(docs_of(spark, rows)).collect()} == want
+
+
 def test_no_passages_in_nothing(spark):
     assert passages.repeated(docs_of(spark, [])).count() == 0
