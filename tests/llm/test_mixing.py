@@ -87,6 +87,16 @@ def test_passes_follow_the_curriculum(spark):
     assert p.columns[:5] == ["rank", "doc_id", "source", "text", "taken"]
 
 
+def test_large_documents_neither_block_nor_fill_a_source(spark):
+    rows = [(k, "a", "w " * 40) for k in range(15)] + [(100, "c", "w " * 600)] + [(200 + k, "c", "w") for k in range(400)]
+    of = [r for r in mixing.mix(docs_of(spark, rows), weights=(5.0, 0.8)).collect() if r["source"] == "c"]
+    assert 0 < of[0]["target"] < 600 and abs(sum(r["taken"] for r in of) - of[0]["target"]) <= 1
+    rows = [(k, "a", "w " * 300) for k in range(50)] + [(100 + k, "c", "w " * (20 + 7 * k)) for k in range(50)]
+    of = [r for r in mixing.mix(docs_of(spark, rows), weights=(5.0, 0.2)).collect() if r["source"] == "c"]
+    kept = [r["size"] for r in of if r["repeats"]]
+    assert kept and min(kept) < max(r["size"] for r in of) / 2
+
+
 def test_odd_tables(spark):
     rows = [(1, "a", None), (2, "a", ""), (None, "a", "one two"), (None, None, "x"), (3, None, " "), (4, "b", "w " * 40_000), (1, "a", "again and again"), (1, "a", "again and again")]
     got = mixing.mix(docs_of(spark, rows)).collect()

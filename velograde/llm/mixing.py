@@ -12,8 +12,8 @@ sum(min(cap_s, weight_s * L)) = total, found in closed form over the sources
 sorted by cap/weight.
 
 Documents: a source whose target is r times its size takes each document
-floor(r) times and once more the documents that come first in a hash order, as
-long as they fit. The running sums are in two levels (hash buckets, then inside a
+floor(r) times and once more, in a hash order, each document that fits into what is
+left of the rest; at last the smallest other one if that brings the sum nearer. The running sums are in two levels (hash buckets, then inside a
 bucket), so a source that holds a third of all rows is spread over many tasks.
 
 Defined cases: null texts have size 0 and are taken 0 times; a null source is a
@@ -38,8 +38,6 @@ CAP = 3
 SLOPES = (-0.5, 0.0, 0.5)
 #: Hash buckets of a source for its running sums.
 BUCKETS = 1024
-#: A document of more than one part in so many of its source's target is taken first.
-LARGE = 500
 #: Targets, one row per source, are broadcast below so many rows; else they are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 #: Passes (id and position) are broadcast below so many; else texts are shuffled to them.
@@ -94,33 +92,76 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     that, ``position`` the training time of its first pass (null if never taken).
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    # Counted once, not in each of the steps below.
-    rows = table(rows, "mix-sizes")
+    # Counted once, not in each of the steps below; the rows are told apart by a number of their own.
+    rows = table(rows.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
     targets = source_targets(rows, weights, cap)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    targets = table(targets.withColumn("whole", whole), "mix-targets")
     if rows_below(targets, BROADCAST_SOURCES):
         targets = F.broadcast(targets)
     order = F.xxhash64("doc_id", F.lit(10))
-    rows = rows.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "rank", "target")
+    rows = rows.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "rank", "target", "whole")
     rows = rows.withColumn("order", order).withColumn("cell", F.pmod(F.shiftright("order", 32), F.lit(buckets)).cast("int"))
-    # Documents that alone are a visible part of their source's target come first, by size, so that the cut falls between small ones.
-    rows = rows.withColumn("cell", F.when(F.col("size") * LARGE > F.col("target"), -1).otherwise(F.col("cell")))
-    # The running sums over cells: one row per source and cell.
-    before = W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("size"))
-    cells = cells.select("source", "cell", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
-    inside = W.partitionBy("source", "cell").orderBy(F.when(F.col("cell") < 0, -F.col("size")), "order", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = rows.withColumn("sum", F.sum("size").over(inside)).alias("r").join(cells.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.cell") == F.col("p.cell")))
-    placed = placed.select("r.*", (F.col("before") + F.col("sum")).alias("end"))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    rest = F.col("target") - F.col("whole") * F.col("source_size")
-    placed = placed.withColumn("whole", whole)
-    # Once more those whose middle lies before the rest: the sum misses the target by half a document at most.
-    more = (F.col("end") - F.col("size") / 2 < rest) & (F.col("whole") < cap)
-    placed = placed.withColumn("repeats", F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(F.lit(0)).cast("long"))
+    left = targets.select("rank", F.when(F.col("whole") < cap, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(F.lit(0.0)).alias("left"))
+    once_more = fitted(rows.select("row", "rank", "cell", "order", "doc_id", "size"), left)
+    if rows_below(once_more, BROADCAST_PASSES):
+        once_more = F.broadcast(once_more)
+    rows = rows.join(once_more.withColumn("more", F.lit(1).cast("long")), "row", "left").withColumn("more", F.coalesce("more", F.lit(0).cast("long")))
+    placed = rows.withColumn("again", F.col("size") * F.col("more"))
+    placed = running(placed, {"end": "size", "end_more": "again"})
+    repeats = F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(F.lit(0)).cast("long")
+    placed = placed.withColumn("repeats", repeats).withColumn("middle", F.col("end") - F.col("size") / 2)
+    # The last pass holds only what is taken once more.
+    placed = placed.withColumn("middle_more", F.when(F.col("more") > 0, F.col("whole") * F.col("source_size") + F.col("end_more") - F.col("size") / 2))
     slope = F.element_at(F.array(*map(F.lit, slopes)), (F.col("rank") % len(slopes) + 1).cast("int"))
-    share = F.when(F.col("target") > 0, F.least(F.lit(1.0), (F.col("end") - F.col("size") / 2) / F.col("target")))
+    first = F.when(F.col("whole") > 0, F.col("middle")).otherwise(F.col("middle_more"))
+    share = F.when(F.col("target") > 0, F.least(F.lit(1.0), first / F.col("target")))
     position = F.when(F.col("repeats") > 0, demand_inverse(share, slope))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), position.alias("position"), slope.alias("slope"), (F.col("end") - F.col("size") / 2).alias("middle"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), position.alias("position"), slope.alias("slope"), "whole", "middle", "middle_more")
+
+
+def running(rows: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """Add running sums of columns over the hash order of each source, in two levels: cells, then inside a cell."""
+    before = W.partitionBy("rank").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("rank", "cell").orderBy("order", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # One row per source and cell.
+    cells = rows.groupBy("rank", "cell").agg(*[F.sum(x).alias(f"_{name}") for name, x in sums.items()])
+    cells = cells.select("rank", "cell", *[F.coalesce(F.sum(f"_{name}").over(before), F.lit(0)).alias(f"_{name}") for name in sums])
+    placed = rows.select("*", *[F.sum(x).over(inside).alias(name) for name, x in sums.items()]).join(cells, ["rank", "cell"])
+    return placed.withColumns({name: F.col(f"_{name}") + F.col(name) for name in sums}).drop(*[f"_{name}" for name in sums])
+
+
+def fitted(rows: DataFrame, left: DataFrame) -> DataFrame:
+    """(row): in hash order, each document that fits into what is left of its source's rest, and then the smallest other one if that is nearer.
+
+    Each round takes the documents before the first that does not fit; those that are
+    larger than what is left then drop out of the running sum of the next round.
+    """
+    open_, taken, shut = rows.where("size > 0"), [], []
+    while True:
+        # What is too large never fits again.
+        fits = open_.join(small(left), "rank")
+        shut.append(fits.where("size > left").select("row", "rank", "order", "doc_id", "size"))
+        placed = table(running(fits.where("size <= left"), {"end": "size"}), "mix-fit")
+        now = placed.where("end <= left")
+        if now.isEmpty():
+            break
+        taken.append(now.select("row"))
+        used = now.groupBy("rank").agg(F.max("end").alias("used"))
+        left = table(left.join(used, "rank", "left").select("rank", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left")), "mix-left")
+        open_ = placed.where("end > left").drop("end", "left")
+    out = shut[0]
+    for x in shut[1:]:
+        out = out.union(x)
+    nearest = out.groupBy("rank").agg(F.min(F.struct("size", "order", "doc_id", "row")).alias("x")).join(small(left), "rank")
+    got = nearest.where(F.col("x.size") / 2 < F.col("left")).select("x.row")
+    for x in taken:
+        got = got.union(x)
+    return table(got, "mix-more")
+
+
+def small(left: DataFrame) -> DataFrame:
+    return F.broadcast(left) if rows_below(left, BROADCAST_SOURCES) else left
 
 
 def passes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -130,9 +171,11 @@ def passes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     equally often, as often as the one of them that is taken most.
     """
     mixed = mix(docs, id_col, text_col, source_col, **options).where("repeats > 0")
-    mixed = mixed.groupBy("doc_id").agg(F.max("repeats").alias("repeats"), F.min("middle").alias("middle"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("slope").alias("slope"))
+    one = F.struct("repeats", -F.col("middle"), "whole", "middle", "middle_more", "source_size", "target", "slope")
+    mixed = mixed.groupBy("doc_id").agg(F.max(one).alias("x")).select("doc_id", "x.*")
     each = mixed.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("repeats") - 1)))
-    share = F.least(F.lit(1.0), (F.col("middle") + F.col("pass") * F.col("source_size")) / F.col("target"))
+    at = F.when(F.col("pass") < F.col("whole"), F.col("middle") + F.col("pass") * F.col("source_size")).otherwise(F.col("middle_more"))
+    share = F.least(F.lit(1.0), at / F.col("target"))
     each = table(each.select(F.col("doc_id").alias("_taken"), demand_inverse(share, F.col("slope")).alias("_position")), "mix-passes")
     if rows_below(each, BROADCAST_PASSES):
         each = F.broadcast(each)
