@@ -133,6 +133,16 @@ def test_slots_that_contradict_each_other_are_no_match(spark):
     assert [(r["doc_id"], r["verbatim"]) for r in decontamination.contaminated(docs_of(spark, rows), items).collect()] == [(1, False)]
 
 
+def test_each_alignment_is_judged(spark):
+    item = "take the number 5 and add the number 5 to the number 9 and then say what you get from it"
+    other = item.replace("5", "8", 1).replace("5", "7")
+    names = "then Anna Bob Carla go down to the old river bank where they wait and sleep until Anna Bob Carla leave the place and walk back over the hill again to their own small house"
+    items = spark.createDataFrame([(1, item), (2, names)], "item_id long, text string")
+    rows = [(1, other + ". " + item), (2, other + ". " + other), (3, item + ". " + other), (4, names.replace("wait and", "wait and slowly"))]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs_of(spark, rows), items).collect()}
+    assert got == {(1, 1), (3, 1), (4, 2)}
+
+
 def test_contamination_of_nothing(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     docs = docs_of(spark, [(1, "a b c d e f g")])

@@ -4,8 +4,8 @@ DataFrame operations only. Texts become words and numbers; numbers, units after
 a number and names (capitalised inside a sentence) turn into typed
 placeholders, all else into lower case. Windows of five template words of all
 documents are hash-joined with those of the benchmark. A document that has at
-least 80 % of an item's windows is aligned with the item, and the values in its slots are
-compared: if each value of the item has one value in the document, the document holds
+least 80 % of an item's windows is aligned with the item in every way that has them, and the values in the slots of
+the windows are compared: if in one alignment each value of the item has one value in the document, the document holds
 the item, be it word by word or with other numbers, names and units.
 
 Windows of the benchmark with fewer than ``LITERALS`` plain words say too little and do not count. The first window does not count in the share
@@ -92,42 +92,75 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, windows, matched, coverage, verbatim."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return held(docs, benchmark, id_col, text_col, item_col, item_text_col, percent).drop("key")
+
+
+def held(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """What :func:`contaminated` returns, with the document's ``key``."""
+    docs = docs.select(own_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     wanted = table(benchmark_windows(items), "benchmark-windows")
     totals = wanted.where("at > 0").groupBy("item_id").agg(F.count_distinct("at").alias("windows"))
     if rows_below(wanted, BROADCAST_WINDOWS):
         wanted = F.broadcast(wanted)
-    found = with_words(docs, F.col("text")).select("doc_id", F.posexplode(windows(F.col("words"))).alias("pos", "h")).join(wanted, "h")
-    # One row per document, item and alignment first: a map-side count, then the shares.
-    aligned = found.groupBy("doc_id", "item_id", "at").agg(F.min(F.col("pos") - F.col("at")).alias("shift"))
-    aligned = aligned.groupBy("doc_id", "item_id", "shift").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("at") > 0).cast("long")).alias("counted"))
-    shares = aligned.groupBy("doc_id", "item_id").agg(F.sum("counted").alias("matched"), F.max(F.struct("n", F.col("shift"))).alias("best"))
-    hits = shares.join(totals, "item_id").where(100 * F.col("matched") >= percent * F.col("windows"))
-    hits = table(hits.select("doc_id", "item_id", "windows", "matched", F.col("best.shift").alias("shift")), "benchmark-hits")
+    found = with_words(docs, F.col("text")).select("key", "doc_id", F.posexplode(windows(F.col("words"))).alias("pos", "h")).join(wanted, "h")
+    found = table(found.select("key", "doc_id", "item_id", "at", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "benchmark-found")
+    shares = found.groupBy("key", "doc_id", "item_id").agg(F.count_distinct(F.when(F.col("at") > 0, F.col("at"))).alias("matched"))
+    hits = table(shares.join(totals, "item_id").where(100 * F.col("matched") >= percent * F.col("windows")), "benchmark-hits")
     # Only documents with hits are read again, for the values in their slots.
-    some = hits.select("doc_id").distinct()
-    read = docs.join(some, docs["doc_id"].eqNullSafe(some["doc_id"]), "left_semi")
-    read = with_slots(read, F.col("text"), "theirs").select("doc_id", "theirs")
+    read = docs.join(hits.select("key").distinct(), "key", "left_semi")
+    read = with_slots(read, F.col("text"), "theirs").select("key", "theirs")
     ours = with_slots(items, F.col("text"), "ours").select("item_id", "ours")
-    pairs = hits.join(ours, "item_id").alias("h").join(read.alias("r"), F.col("h.doc_id").eqNullSafe(F.col("r.doc_id"))).select("h.*", "theirs")
+    aligned = alignments(found.drop("doc_id").join(hits, ["key", "item_id"]), ours.groupBy("item_id").agg(F.max(F.size("ours")).alias("length")), percent)
+    pairs = aligned.join(ours, "item_id").join(read, "key")
+    # The slots of each window that matched, at its own shift.
+    slots = F.array_distinct(F.flatten(F.transform("spots", lambda x: F.transform(F.array(*map(F.lit, range(WINDOW))), lambda k: F.struct((x["at"] + k).alias("i"), (x["at"] + x["shift"] + k).alias("j"))))))
+    pairs = pairs.withColumn("slots", slots)
     filled = F.filter(
-        F.transform("ours", lambda o, i: F.struct(o["word"].alias("word"), o["value"].alias("value"), F.get("theirs", i + F.col("shift"))["word"].alias("word2"), F.get("theirs", i + F.col("shift"))["value"].alias("value2"))),
+        F.transform("slots", lambda x: F.struct(F.get("ours", x["i"])["word"].alias("word"), F.get("ours", x["i"])["value"].alias("value"), F.get("theirs", x["j"])["word"].alias("word2"), F.get("theirs", x["j"])["value"].alias("value2"))),
         lambda x: x["word"].startswith("#") & (x["word"] == x["word2"]),
     )
-    pairs = pairs.select("doc_id", "item_id", "windows", "matched", filled.alias("filled"))
+    names = ["key", "doc_id", "item_id", "windows", "matched"]
+    pairs = pairs.select(*names, filled.alias("filled"))
     values = F.array_distinct(F.transform("filled", lambda x: F.struct(x["word"].alias("w"), x["value"].alias("v"))))
     both = F.array_distinct(F.transform("filled", lambda x: F.struct(x["word"].alias("w"), x["value"].alias("v"), x["value2"].alias("v2"))))
     verbatim = F.forall("filled", lambda x: x["value"] == x["value2"])
-    judged = pairs.select("doc_id", "item_id", "windows", "matched", (F.size(values) == F.size(both)).alias("consistent"), verbatim.alias("verbatim"))
-    # Rows with one id are one document: it holds the item if one of them does.
-    kept = judged.where("consistent").groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("matched").alias("matched"), F.max("verbatim").alias("verbatim"))
+    judged = pairs.select(*names, (F.size(values) == F.size(both)).alias("consistent"), verbatim.alias("verbatim"))
+    # A document holds the item if one of its alignments, in one of the rows with its id, does.
+    kept = judged.where("consistent").groupBy("key", "doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("matched").alias("matched"), F.max("verbatim").alias("verbatim"))
     return kept.withColumn("coverage", F.col("matched") / F.col("windows"))
 
 
+def own_key(doc_id: Column, text: Column) -> Column:
+    """The id; rows without one are one document."""
+    return F.coalesce(F.concat(F.lit("id "), doc_id.cast("string")), F.lit("none"))
+
+
+def alignments(found: DataFrame, lengths: DataFrame, percent: int) -> DataFrame:
+    """(key, doc_id, item_id, windows, matched, spots): the windows (at, shift) of each alignment of a document with an item.
+
+    Every shift with windows is one: alone, and with each other window of the item at the shift that is nearest, at most the
+    item's length away (words may be inserted or missing). These have to reach the share. The shift with
+    most windows is one with the windows at any other shift.
+    """
+    names = ["key", "doc_id", "item_id", "windows", "matched"]
+    found = found.join(lengths, "item_id").withColumn("cell", F.floor(F.col("shift") / F.col("length")))
+    base = found.groupBy(*names, "cell", F.col("shift").alias("base")).agg(F.count(F.lit(1)).alias("n"))
+    best = base.groupBy("key", "item_id").agg(F.max(F.struct("n", "base")).alias("x")).select("key", "item_id", F.col("x.base").alias("base"))
+    spot = found.select("key", "item_id", "at", "shift", "length", "cell")
+    around = base.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
+    near = around.join(spot, ["key", "item_id", "cell"]).where("abs(shift - base) <= length").select(*names, "base", "at", "shift", F.lit(0).alias("kind"))
+    alone = found.select(*names, F.col("shift").alias("base"), "at", "shift", F.lit(1).alias("kind"))
+    pooled = found.join(best, ["key", "item_id"]).select(*names, "base", "at", "shift", F.lit(2).alias("kind"))
+    away = F.struct(F.abs(F.col("shift") - F.col("base")).alias("d"), "shift")
+    every = near.union(alone).union(pooled).groupBy(*names, "base", "kind", "at").agg(F.min(away).alias("x"))
+    every = every.groupBy(*names, "base", "kind").agg(F.collect_list(F.struct("at", F.col("x.shift").alias("shift"))).alias("spots"), F.sum((F.col("at") > 0).cast("long")).alias("own"))
+    return every.where(100 * F.col("own") >= percent * F.col("windows")).select(*names, "spots")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no item of the benchmark, all columns."""
-    found = table(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_held")).distinct(), "benchmark-held")
+    found = table(held(docs, benchmark, id_col, text_col).select(F.col("key").alias("_held")).distinct(), "benchmark-held")
     if rows_below(found, BROADCAST_WINDOWS):
         found = F.broadcast(found)
-    return docs.join(found, docs[id_col].eqNullSafe(found["_held"]), "left_anti")
+    return docs.join(found, own_key(docs[id_col], docs[text_col]) == found["_held"], "left_anti")
