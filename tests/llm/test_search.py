@@ -143,6 +143,15 @@ def test_each_alignment_is_judged(spark):
     assert got == {(1, 1), (3, 1), (4, 2)}
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    fox = ITEMS[1][1]
+    half = len(fox) // 2
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    rows = [(None, fox), (None, "a clean text of some words"), (None, None), (None, fox[: half + 10]), (None, fox[half - 10 :]), (1, "clean too")]
+    left = decontamination.clean(docs_of(spark, rows), items).collect()
+    assert sorted(str(r["text"]) for r in left) == sorted(str(t) for _, t in rows[1:])
+
+
 def test_contamination_of_nothing(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     docs = docs_of(spark, [(1, "a b c d e f g")])

@@ -12,7 +12,7 @@ Windows of the benchmark with fewer than ``LITERALS`` plain words say too little
 either: what precedes an item in a document decides whether its first word is a name.
 
 Defined cases: null texts are empty and match nothing; items of fewer than five words are
-not searched; rows with one id are one document, rows without an id another one (id null); repeated items are each reported; empty tables yield no rows;
+not searched; rows with one id are one document, each row without an id is one of its own (id null; equal texts are reported once); repeated items are each reported; empty tables yield no rows;
 other columns are not read.
 """
 
@@ -132,8 +132,8 @@ def held(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 
 def own_key(doc_id: Column, text: Column) -> Column:
-    """The id; rows without one are one document."""
-    return F.coalesce(F.concat(F.lit("id "), doc_id.cast("string")), F.lit("none"))
+    """The id, or for rows without one the digest of the text: what is found in a text is found in each row with it."""
+    return F.when(doc_id.isNull(), F.concat(F.lit("text "), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))).otherwise(F.concat(F.lit("id "), doc_id.cast("string")))
 
 
 def alignments(found: DataFrame, lengths: DataFrame, percent: int) -> DataFrame:
