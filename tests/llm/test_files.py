@@ -27,7 +27,7 @@ def path():
 
 
 def test_segments_encode_like_whole_texts(path):
-    encoder = token_files.SegmentEncoder(path, limit=40)  # a small cache that starts anew several times
+    encoder = token_files.SegmentEncoder(path, limit=400)  # a small cache that starts anew several times
     for texts in (ODD, ODD[::-1], ["".join(ODD) * 20]):
         got = [ids.tolist() for c in chunks(pa.array(texts)) for ids in encoder.encode(c, 2)]
         assert got == [x.ids + [2] for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]

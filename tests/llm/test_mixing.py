@@ -79,7 +79,7 @@ def test_passes_follow_the_curriculum(spark):
     mixed = {r["doc_id"]: r["repeats"] for r in mixing.mix(docs_of(spark, rows)).collect()}
     p = mixing.passes(docs_of(spark, rows))
     got = p.collect()
-    assert [r["_position"] for r in got] == sorted(r["_position"] for r in got)
+    assert [r["position"] for r in got] == sorted(r["position"] for r in got)
     count = {}
     for r in got:
         count[r["doc_id"]] = count.get(r["doc_id"], 0) + 1

@@ -11,15 +11,16 @@ the excess is shared again by weight. That is the level L with
 sum(min(cap_s, weight_s * L)) = total, found in closed form over the sources
 sorted by cap/weight.
 
-Documents: a source whose target is r times its size takes each document
-floor(r) times and once more, in a hash order, each document that fits into what is
-left of the rest; at last the smallest other one if that brings the sum nearer. The running sums are in two levels (hash buckets, then inside a
-bucket), so a source that holds a third of all rows is spread over many tasks.
+Documents: a source whose target is r times its size goes through all its documents
+floor(r) times and then through a rest. The rest is laid out in a hash order, each document that fits into what is
+left of it, and after these the smallest other one. A pass over a document is taken if the demand reaches the
+middle of its place in the source's sequence, that is, if it has a training position. The running sums are in two levels (hash buckets, then inside a
+bucket; the number of buckets follows that of the rows), so a source that holds a third of all rows is spread over many tasks.
 
 Defined cases: null texts have size 0 and are taken 0 times; a null source is a
-source of its own, last in order; null ids hash alike and are ordered by size;
-repeated rows are separate rows; an empty table yields no rows; a table without
-any word has targets 0; other columns are not read.
+source of its own, last in order; rows without an id, or with an id of others, are told apart by their texts' hashes and decided each;
+repeated rows are separate rows, of which equal ones may stand for one another; an empty table yields no rows; a table without
+any word has targets 0; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
 #: Slopes of the weight schedules by rank, repeating: weight(t) = weight * (1 + slope * (2t - 1)), t in 0..1.
 SLOPES = (-0.5, 0.0, 0.5)
-#: Hash buckets of a source for its running sums.
-BUCKETS = 1024
+#: Hash buckets of a source for its running sums: so many at least, and one for so many rows of the table.
+BUCKETS, BUCKET_ROWS = 1024, 50_000
 #: Targets, one row per source, are broadcast below so many rows; else they are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 #: Passes (id and position) are broadcast below so many; else texts are shuffled to them.
@@ -85,45 +86,55 @@ def demand_inverse(share: Column, slope: Column) -> Column:
     return F.least(F.lit(1.0), 2 * share / (b + F.sqrt(F.greatest(F.lit(0.0), b * b + 4 * slope * share))))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: int = CAP, slopes=SLOPES, buckets: int = BUCKETS) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, repeats, taken, position.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """One row per document, range-sorted by position: doc_id, source, size, source_size, target, repeats, taken, position.
 
     ``repeats`` is how often the mix takes the document, ``taken`` its words times
     that, ``position`` the training time of its first pass (null if never taken).
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    # Counted once, not in each of the steps below; the rows are told apart by a number of their own.
-    rows = table(rows.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    rows = table(sized(docs, id_col, text_col, source_col).withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    placed = table(curriculum(rows, **options), "mix-placed")
+    first = F.array_min("positions")
+    out = placed.select("doc_id", "source", "size", "source_size", "target", F.size("positions").cast("long").alias("repeats"), (F.col("size") * F.size("positions")).alias("taken"), first.alias("position"))
+    return sorted_by(out, F.col("position").asc_nulls_last(), F.col("doc_id"))
+
+
+def sorted_by(rows: DataFrame, *order: Column) -> DataFrame:
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """(doc_id, source, size, hash): the hash tells rows with one id, or without, apart."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(10)).alias("order"), *more)
+
+
+def curriculum(rows: DataFrame, weights=WEIGHTS, cap: int = CAP, slopes=SLOPES, buckets: int = BUCKETS) -> DataFrame:
+    """Rows of a table (row, doc_id, source, size, order) with source_size, target and ``positions``, the training times of all passes that are taken."""
     targets = source_targets(rows, weights, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = table(targets.withColumn("whole", whole), "mix-targets")
-    if rows_below(targets, BROADCAST_SOURCES):
-        targets = F.broadcast(targets)
-    order = F.xxhash64("doc_id", F.lit(10))
-    rows = rows.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "rank", "target", "whole")
-    rows = rows.withColumn("order", order).withColumn("cell", F.pmod(F.shiftright("order", 32), F.lit(buckets)).cast("int"))
+    buckets = max(buckets, rows.count() // BUCKET_ROWS)
+    rows = rows.alias("r").join(small(targets).alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "rank", "target", "whole")
+    rows = rows.withColumn("cell", F.pmod(F.shiftright("order", 32), F.lit(buckets)).cast("int"))
     left = targets.select("rank", F.when(F.col("whole") < cap, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(F.lit(0.0)).alias("left"))
-    once_more = fitted(rows.select("row", "rank", "cell", "order", "doc_id", "size"), left)
-    if rows_below(once_more, BROADCAST_PASSES):
-        once_more = F.broadcast(once_more)
-    rows = rows.join(once_more.withColumn("more", F.lit(1).cast("long")), "row", "left").withColumn("more", F.coalesce("more", F.lit(0).cast("long")))
-    placed = rows.withColumn("again", F.col("size") * F.col("more"))
-    placed = running(placed, {"end": "size", "end_more": "again"})
-    repeats = F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(F.lit(0)).cast("long")
-    placed = placed.withColumn("repeats", repeats).withColumn("middle", F.col("end") - F.col("size") / 2)
-    # The last pass holds only what is taken once more.
-    placed = placed.withColumn("middle_more", F.when(F.col("more") > 0, F.col("whole") * F.col("source_size") + F.col("end_more") - F.col("size") / 2))
+    rest = fitted(rows.select("row", "rank", "cell", "order", "size"), left)
+    if rows_below(rest, BROADCAST_PASSES):
+        rest = F.broadcast(rest)
+    placed = running(rows.join(rest, "row", "left"), {"end": "size"})
+    # Where the middle of each pass over the document stands in its source's sequence.
+    half = F.col("size") / 2
+    laps = F.when(F.col("whole") > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.col("whole")), lambda k: (k - 1) * F.col("source_size") + F.col("end") - half)).otherwise(F.array().cast("array<double>"))
+    again = F.when(F.col("rest_end").isNotNull(), F.array(F.col("whole") * F.col("source_size") + F.col("rest_end") - half)).otherwise(F.array().cast("array<double>"))
     slope = F.element_at(F.array(*map(F.lit, slopes)), (F.col("rank") % len(slopes) + 1).cast("int"))
-    first = F.when(F.col("whole") > 0, F.col("middle")).otherwise(F.col("middle_more"))
-    share = F.when(F.col("target") > 0, F.least(F.lit(1.0), first / F.col("target")))
-    position = F.when(F.col("repeats") > 0, demand_inverse(share, slope))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), position.alias("position"), slope.alias("slope"), "whole", "middle", "middle_more")
+    reached = F.filter(F.concat(laps, again), lambda m: (m <= F.col("target")) & (F.col("size") > 0))
+    positions = F.transform(reached, lambda m: demand_inverse(m / F.col("target"), slope))
+    return placed.select("row", "doc_id", "source", "size", "source_size", "target", positions.alias("positions"))
 
 
 def running(rows: DataFrame, sums: dict[str, str]) -> DataFrame:
     """Add running sums of columns over the hash order of each source, in two levels: cells, then inside a cell."""
     before = W.partitionBy("rank").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    inside = W.partitionBy("rank", "cell").orderBy("order", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("rank", "cell").orderBy("order", "size", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
     # One row per source and cell.
     cells = rows.groupBy("rank", "cell").agg(*[F.sum(x).alias(f"_{name}") for name, x in sums.items()])
     cells = cells.select("rank", "cell", *[F.coalesce(F.sum(f"_{name}").over(before), F.lit(0)).alias(f"_{name}") for name in sums])
@@ -132,52 +143,58 @@ def running(rows: DataFrame, sums: dict[str, str]) -> DataFrame:
 
 
 def fitted(rows: DataFrame, left: DataFrame) -> DataFrame:
-    """(row): in hash order, each document that fits into what is left of its source's rest, and then the smallest other one if that is nearer.
+    """(row, rest_end): in hash order, each document that fits into what is left of its source's rest, then the smallest other one; where each ends.
 
-    Each round takes the documents before the first that does not fit; those that are
+    Each round places the documents before the first that does not fit; those that are
     larger than what is left then drop out of the running sum of the next round.
     """
+    left = left.withColumn("used", F.lit(0).cast("long"))
     open_, taken, shut = rows.where("size > 0"), [], []
     while True:
         # What is too large never fits again.
         fits = open_.join(small(left), "rank")
-        shut.append(fits.where("size > left").select("row", "rank", "order", "doc_id", "size"))
+        shut.append(fits.where("size > left").select("row", "rank", "order", "size"))
         placed = table(running(fits.where("size <= left"), {"end": "size"}), "mix-fit")
         now = placed.where("end <= left")
         if now.isEmpty():
             break
-        taken.append(now.select("row"))
-        used = now.groupBy("rank").agg(F.max("end").alias("used"))
-        left = table(left.join(used, "rank", "left").select("rank", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left")), "mix-left")
-        open_ = placed.where("end > left").drop("end", "left")
+        taken.append(now.select("row", (F.col("used") + F.col("end")).alias("rest_end")))
+        more = now.groupBy("rank").agg(F.max("end").alias("more"))
+        more = left.join(more, "rank", "left").withColumn("more", F.coalesce("more", F.lit(0)))
+        left = table(more.select("rank", (F.col("left") - F.col("more")).alias("left"), (F.col("used") + F.col("more")).alias("used")), "mix-left")
+        open_ = placed.where("end > left").drop("end", "left", "used")
     out = shut[0]
     for x in shut[1:]:
         out = out.union(x)
-    nearest = out.groupBy("rank").agg(F.min(F.struct("size", "order", "doc_id", "row")).alias("x")).join(small(left), "rank")
-    got = nearest.where(F.col("x.size") / 2 < F.col("left")).select("x.row")
+    nearest = out.groupBy("rank").agg(F.min(F.struct("size", "order", "row")).alias("x")).join(small(left), "rank")
+    got = nearest.select("x.row", (F.col("used") + F.col("x.size")).alias("rest_end"))
     for x in taken:
         got = got.union(x)
-    return table(got, "mix-more")
+    return table(got, "mix-rest")
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """One row per source: broadcast if there are few."""
+    return F.broadcast(rows) if rows_below(rows, BROADCAST_SOURCES) else rows
 
 
-def small(left: DataFrame) -> DataFrame:
-    return F.broadcast(left) if rows_below(left, BROADCAST_SOURCES) else left
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores added until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def passes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The documents as often as the mix takes them, all columns and ``position``, range-sorted by training position.
+    """The documents as often as the mix takes them, all columns and last ``position`` (``position_``, ... where that is taken), range-sorted by it.
 
-    Decisions are made on ids and sizes and then joined to the documents. Rows with one id are taken
-    equally often, as often as the one of them that is taken most.
+    Each row is decided on its own: rows are numbered in a table, decisions are made on sizes and joined back by number.
     """
-    mixed = mix(docs, id_col, text_col, source_col, **options).where("repeats > 0")
-    one = F.struct("repeats", -F.col("middle"), "whole", "middle", "middle_more", "source_size", "target", "slope")
-    mixed = mixed.groupBy("doc_id").agg(F.max(one).alias("x")).select("doc_id", "x.*")
-    each = mixed.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("repeats") - 1)))
-    at = F.when(F.col("pass") < F.col("whole"), F.col("middle") + F.col("pass") * F.col("source_size")).otherwise(F.col("middle_more"))
-    share = F.least(F.lit(1.0), at / F.col("target"))
-    each = table(each.select(F.col("doc_id").alias("_taken"), demand_inverse(share, F.col("slope")).alias("_position")), "mix-passes")
+    row, position = unused("row", docs.columns), unused("position", docs.columns)
+    held = table(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
+    rows = table(sized(held, id_col, text_col, source_col, F.col(row).alias("row")), "mix-sizes")
+    each = table(curriculum(rows, **options).select(F.col("row").alias(row), F.explode("positions").alias(position)), "mix-passes")
     if rows_below(each, BROADCAST_PASSES):
         each = F.broadcast(each)
-    joined = docs.join(each, docs[id_col].eqNullSafe(each["_taken"])).drop("_taken")
-    return joined.repartitionByRange("_position", id_col).sortWithinPartitions("_position", id_col)
+    joined = held.join(each, row).select(*[held[c] for c in docs.columns], position, row)
+    return sorted_by(joined, F.col(position), F.col(row)).drop(row)

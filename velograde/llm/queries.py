@@ -24,7 +24,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", F.col("target"), "taken", "repeats", "position")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "repeats", "position")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,8 +21,11 @@ encoded once with the tokenizers library and kept in a bounded cache of the
 worker, and documents are put together from the cached ids. White space of other kinds is
 not cut at.
 
+Records stand in the order asked for: ascending ids, or the order in which a table's own files hold its rows.
+
 Defined cases: null texts are empty and yield the end id alone; null ids sort
-first; repeated rows are records of their own; an empty table yields no files.
+first; rows with one id stand in the order of their texts' hashes, then of their texts (a hot id is so spread over tasks); repeated rows are records of
+their own; an empty table yields no files and no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,8 +49,8 @@ from velograde.llm.workdir import new_path, open_dir, table
 from velograde.shipping import ship
 
 END_ID = 2
-#: Segments that a worker keeps, about 60 MB; then it starts anew.
-CACHE_SEGMENTS = 2_000_000
+#: Bytes of cached segments that a task keeps; beyond, it starts anew.
+CACHE_BYTES = 24_000_000
 HEAD = struct.Struct("<QI")
 PAYLOAD = struct.Struct("<qBBI")
 ENTRY = struct.Struct("<QQI")
@@ -61,7 +65,7 @@ def masked(data: bytes) -> int:
 class SegmentEncoder:
     """Encodes documents with a tokenizer of the tokenizers library, each distinct segment once."""
 
-    def __init__(self, tokenizer_path: str, limit: int = CACHE_SEGMENTS):
+    def __init__(self, tokenizer_path: str, limit: int = CACHE_BYTES):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -70,9 +74,9 @@ class SegmentEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.limit = limit
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65_536 else 4
-        self._reset()
+        self.reset()
 
-    def _reset(self) -> None:
+    def reset(self) -> None:
         # Hashes of the segments in ascending order, and where the ids of each lie.
         self.known = np.zeros(0, np.uint64)
         self.slot = np.zeros(0, np.int64)
@@ -84,14 +88,14 @@ class SegmentEncoder:
         ends = self.ends[-1] + np.cumsum(counts)
         used, total = int(self.ends[-1]), int(ends[-1])
         while len(self.ids) < total:
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) // 2, np.uint32)])
         self.ids[used:total] = np.fromiter(chain.from_iterable(encoded), np.uint32, total - used)
         self.ends = np.concatenate([self.ends, ends])
 
     def _slots(self, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, raw: bytes) -> np.ndarray:
         """For distinct hashes of segments, the slots of their ids; new segments are encoded."""
-        if len(self.known) + len(hashes) > self.limit:
-            self._reset()
+        if self.known.nbytes + self.slot.nbytes + self.ends.nbytes + 4 * int(self.ends[-1]) > self.limit:
+            self.reset()
         at = np.searchsorted(self.known, hashes)
         held = np.zeros(len(hashes), bool)
         inside = at < len(self.known)
@@ -158,7 +162,7 @@ _encoders: dict[str, SegmentEncoder] = {}
 
 
 def encoder(path: str) -> SegmentEncoder:
-    """The encoder of this worker process: its cache outlives a task."""
+    """The tokenizer of this worker process; a task empties the cache when it ends."""
     if path not in _encoders:
         _encoders[path] = SegmentEncoder(path)
     return _encoders[path]
@@ -207,6 +211,7 @@ def write_part(directory: str, tokenizer_path: str, end_id: int, batches: Iterat
                     index.write(ENTRY.pack(at, len(data), len(ids)))
                     at, records, tokens = at + len(data), records + 1, tokens + len(ids)
     finally:
+        encode.reset()
         for f in (out, index):
             if f is not None:
                 f.close()
@@ -216,56 +221,73 @@ def write_part(directory: str, tokenizer_path: str, end_id: int, batches: Iterat
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "records": [records], "tokens": [tokens], "bytes": [at]})
 
 
-def write(docs: DataFrame, directory: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """Write the files in ascending id order; returns the manifest, one row per file."""
+def write(docs: DataFrame, directory: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, as_stored: bool = False) -> DataFrame:
+    """Write the files in ascending id order, or with ``as_stored`` in the order of the table's own files; returns the manifest, one row per file."""
     ship(docs.sparkSession)
     store, root = open_dir(directory)
     store.create_dir(root, recursive=True)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return table(rows.mapInArrow(lambda batches: write_part(directory, tokenizer_path, end_id, batches), MANIFEST), "token-manifest")
+    own = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
+    if as_stored:
+        rows, order = stored(docs, own)
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    else:
+        rows = docs.select(*own, F.xxhash64(text_col).alias("hash"))
+        order = [F.col("doc_id").asc_nulls_first(), F.col("hash")]
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    return table(rows.select("doc_id", "text").mapInArrow(lambda batches: write_part(directory, tokenizer_path, end_id, batches), MANIFEST), "token-manifest")
+
+
+def stored(docs: DataFrame, columns: list[Column]) -> tuple[DataFrame, list[Column]]:
+    """Columns of a table with those that give the order of its rows in its files: the number of the part, the row in it.
+
+    What is no plain read of Parquet files is written first.
+    """
+
+    def placed(rows: DataFrame, *own: Column | str) -> DataFrame:
+        of = rows.metadataColumn("_metadata")
+        return rows.select(*own, F.regexp_extract(of["file_name"], r"part-(\d+)", 1).try_cast("long").alias("part"), of["file_name"].alias("file"), of["row_index"].alias("nth"))
+
+    order = [F.col("part"), F.col("file"), F.col("nth")]
+    try:
+        return placed(docs, *columns), order
+    except AnalysisException:
+        return placed(table(docs.select(*columns), "token-input"), "doc_id", "text"), order
 
 
-READ = "part int, ordinal int, doc_id long, n_tokens long, ids_crc32 long"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def read_parts(directory: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     store, root = open_dir(directory)
     for batch in batches:
-        for part, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             with store.open_input_stream(f"{root}/{name}.idx") as f:
                 entries = np.frombuffer(f.read(), ENTRY_TYPE)
             with store.open_input_file(f"{root}/{name}.tok") as f:
                 for first in range(0, len(entries), 4096):
-                    some = entries[first : first + 4096]
                     rows = []
-                    for e in some:
+                    for e in entries[first : first + 4096]:
                         f.seek(int(e["offset"]))
                         doc_id, ids, _ = parse(f.read(int(e["length"])), 0)
                         if len(ids) != e["n"]:
                             raise ValueError(f"{name}: index and record differ")
-                        rows.append((doc_id, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    ids_, n, crc = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([part] * len(rows), pa.int32()), pa.array(range(first, first + len(rows)), pa.int32()), pa.array(ids_, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
-                        names=["part", "ordinal", "doc_id", "n_tokens", "ids_crc32"],
-                    )
+                        rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                        start += len(ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read(manifest: DataFrame, directory: str) -> DataFrame:
     """Read the files back by their index: one row per record, with where its ids begin in the whole sequence.
 
-    Totals of files are summed over the manifest (one row per file), running sums inside a
-    file over its own records.
+    One task reads one file. The window without a key numbers the files and sums their totals: one row per file.
     """
     ship(manifest.sparkSession)
-    files = manifest.select("part", F.coalesce(F.sum("tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    spread = manifest.select("part", "file").repartition("part")
-    rows = spread.mapInArrow(lambda batches: read_parts(directory, batches), READ)
-    inside = F.coalesce(F.sum("n_tokens").over(W.partitionBy("part").orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("inside", inside).join(files, "part").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    order = W.orderBy("part")
+    files = manifest.select("file", F.coalesce(F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"), (F.row_number().over(order) - 1).alias("nth"))
+    spread = files.repartitionById(max(1, manifest.count()), "nth").select("file", "start")
+    return spread.mapInArrow(lambda batches: read_parts(directory, batches), READ)
 
 
-def write_and_read(docs: DataFrame, tokenizer_path: str, directory: str | None = None, **names) -> DataFrame:
+def write_and_read(docs: DataFrame, tokenizer_path: str, directory: str | None = None, **options) -> DataFrame:
     directory = directory or new_path(docs.sparkSession, "tokens")
-    return read(write(docs, directory, tokenizer_path, **names), directory)
+    return read(write(docs, directory, tokenizer_path, **options), directory)

@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from velograde.llm.workdir import new_path, open_dir, rows_below, table
@@ -231,17 +232,22 @@ def write(pages: DataFrame, directory: str, **names) -> DataFrame:
     return table(plan(pages, **names).mapInArrow(lambda b: write_part(directory, b), MANIFEST), "warc-manifest")
 
 
+def each_alone(manifest: DataFrame) -> DataFrame:
+    """(file) with one partition per file. The window without a key numbers the files: one row each."""
+    files = manifest.select("file", (F.row_number().over(W.orderBy("file")) - 1).alias("nth"))
+    return files.repartitionById(max(1, manifest.count()), "nth").select("file")
+
+
 def normalise(manifest: DataFrame, source: str, target: str) -> DataFrame:
     """Rewrite the archives of a manifest; returns the manifest of the new ones."""
     _made(manifest.sparkSession, target)
-    files = manifest.select("file").repartition("file")
-    return table(files.mapInArrow(lambda b: normalise_part(source, target, b), MANIFEST), "warc-normalised")
+    return table(each_alone(manifest).mapInArrow(lambda b: normalise_part(source, target, b), MANIFEST), "warc-normalised")
 
 
 def read(manifest: DataFrame, directory: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record."""
     ship(manifest.sparkSession)
-    return manifest.select("file").repartition("file").mapInArrow(lambda b: read_part(directory, b), PAGES)
+    return each_alone(manifest).mapInArrow(lambda b: read_part(directory, b), PAGES)
 
 
 def round_trip(pages: DataFrame, **names) -> DataFrame:
