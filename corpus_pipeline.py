@@ -3,6 +3,11 @@
 Each stage takes all that its predecessor kept, written as Parquet and read
 again, and its decisions take effect. All but the last return the columns of ``documents``.
 
+Defined cases: null and empty texts are scored, have no duplicates, hold no item and are never
+taken into the mixture; rows without an id are kept or dropped each by its own text; of an id with several texts the
+near-duplicate and contamination stages decide all rows alike; repeated rows go one way; empty tables go through
+all stages as empty tables; columns of other names, and clashing ones, are carried along unread.
+
 In stages on word shingles, near-duplicates share five-word shingles to 80 %.
 """
 
@@ -45,10 +50,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all passes, read back: one row per record."""
+    """Token files of all passes in the order of training, which is that of the rows in the mixture's files; read back, one row per record."""
     import public_tokenizers
 
-    return token_files.write_and_read(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.write_and_read(docs, public_tokenizers.path("byte_bpe_50k.json"), as_stored=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
