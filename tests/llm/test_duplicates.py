@@ -174,7 +174,7 @@ def test_every_repeated_passage_is_found(spark):
         assert r["words"] >= 50 and len(words(text[r["doc_id"]][r["start"] : r["end"]])) >= 50
     clusters = {}
     for r in found:
-        clusters.setdefault(r["cluster"], []).append(r)
+        clusters.setdefault((r["kept_doc_id"], r["kept_start"]), []).append(r)
     for members in clusters.values():
         stays = [r["doc_id"] for r in members if not r["removed"]]
         assert stays == [min(r["doc_id"] for r in members)] and len(members) > 1
@@ -183,11 +183,61 @@ def test_every_repeated_passage_is_found(spark):
     assert all(len(cut[r["doc_id"]]) <= len(text[r["doc_id"]]) - (r["end"] - r["start"]) for r in found if r["removed"])
 
 
-def test_bands_reach_the_wanted_recall():
-    for percent, recall in ((80, 0.95), (80, 0.999), (60, 0.9)):
-        b = passages.bands_for(percent, recall)
-        assert 1 - (1 - percent / 100) ** b >= recall > 1 - (1 - percent / 100) ** (b - 1)
-    assert passages.SPREAD + passages.WORDS - 1 <= passages.LEAST + 1
+def test_edited_passages_are_found_at_ids_of_any_size(spark):
+    rng, vocab = random.Random(21), vocabulary(2000, 21)
+    fresh = lambda n: [rng.choice(vocab) for _ in range(n)]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    rows, want, top = [], set(), 2**62
+    for n, edits in ((60, 1), (100, 2), (200, 4)):
+        for _ in range(50):
+            p = fresh(n)
+            q = list(p)
+            for at in rng.sample(range(n), edits):
+                q[at] = rng.choice(vocab)
+            if jaccard(grams(p), grams(q)) >= 0.8:
+                want |= {top + len(rows), top + len(rows) + 1}
+            rows += [(top + len(rows) + k, " ".join([*fresh(30), *x, *fresh(30)])) for k, x in enumerate((p, q))]
+    found = {r["doc_id"] for r in passages.repeated(docs_of(spark, rows)).collect()}
+    # An edit at either end leaves a shorter passage that may hold without it.
+    assert len(want) > 200 and want <= found
+
+
+def test_passages_equal_all_pairs(spark):
+    """Against every pair of documents: those with a common run of 50 words, wherever it stands."""
+    rng, vocab = random.Random(22), vocabulary(60, 22)
+    pool = [[rng.choice(vocab) for _ in range(rng.randint(30, 70))] for _ in range(12)]
+    rows = [(k, " ".join(w for _ in range(rng.randint(1, 5)) for w in (rng.choice(pool) if rng.random() < 0.6 else [rng.choice(vocab) for _ in range(rng.randint(1, 40))]))) for k in range(120)]
+    held = {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 49):
+            held.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    want = {i for ids in held.values() if len(ids) > 1 for i in ids}
+    found = passages.repeated(docs_of(spark, rows)).collect()
+    assert want <= {r["doc_id"] for r in found}
+    # Whatever is found beyond is an edited passage: its cluster has another document, and most of its windows of 5 words are there.
+    text = dict(rows)
+    inside = {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 4):
+            inside.setdefault(tuple(w[k : k + 5]), set()).add(i)
+    for r in found:
+        w = text[r["doc_id"]][r["start"] : r["end"]].split()
+        shared = sum(len(inside[tuple(w[k : k + 5])]) > 1 for k in range(len(w) - 4))
+        assert len(w) >= 50 and shared >= 0.8 * (len(w) - 4)
+
+
+def test_removal_carries_columns_of_any_name(spark):
+    p = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, f"a {p} b", "x", "y"), (2, f"c {p} d", "x", "y"), (None, p, "x", "y"), (3, None, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cut string, cut_of string")
+    found = passages.repeated(docs)
+    assert [(r["doc_id"], r["kept_doc_id"], r["removed"]) for r in found.orderBy("doc_id").collect()] == [(1, 1, False), (2, 1, True)]
+    got = passages.without(docs, found)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, f"a {p} b", "x", "y"), (2, "c  d", "x", "y"), (None, p, "x", "y"), (3, None, "x", "y")], key=str)
 
 
 def test_passages_are_aligned_by_the_shingle_that_is_shared(spark):

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from velograde.llm.workdir import rows_below, table
+from velograde.llm.workdir import rows_below, table, unused
 
 #: Weights of the sources by rank, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -178,13 +178,6 @@ def small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows_below(rows, BROADCAST_SOURCES) else rows
 
 
-def unused(name: str, columns: list[str]) -> str:
-    """The name, with underscores added until no column has it."""
-    while name.lower() in {c.lower() for c in columns}:
-        name += "_"
-    return name
-
-
 def passes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents as often as the mix takes them, all columns and last ``position`` (``position_``, ... where that is taken), range-sorted by it.
 

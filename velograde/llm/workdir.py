@@ -65,3 +65,10 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are done: it does so when the driver collects their objects."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores added until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
