@@ -157,3 +157,26 @@ def test_contamination_of_nothing(spark):
     docs = docs_of(spark, [(1, "a b c d e f g")])
     assert decontamination.contaminated(docs, items).count() == 0 and decontamination.clean(docs, items).count() == 1
     assert decontamination.contaminated(docs_of(spark, []), spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
+
+
+def test_every_verbatim_item_is_found(spark):
+    """Items of all kinds, planted word for word, against a plain search."""
+    rng = random.Random(3)
+    items = [
+        "four plain words here", "Anna Bob Carla", "Paris is a big city", "Lima Oslo Rome Bern Kyiv Baku Doha Male Riga Apia Suva", "12 7 19 3 88 41 5 6 90 22 17", "Is 7 a prime number?", "Mr Smith met Ms Jones and Dr Brown in Rome on 3 May",
+        " ".join(rng.choice(["red", "blue", "Green", "7", "42", "kg", "Otto", "house", "tree."]) for _ in range(40)),
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(k, f"before it came {items[k % 8]} and more after") for k in range(16)] + [(50 + k, x) for k, x in enumerate(items)]
+    rows += [(100 + k, " ".join(rng.choice(["Anna", "Bob", "3", "12", "city", "plain", "Oslo", "Rome", "words", "is", "a"]) for _ in range(30))) for k in range(40)]
+    plain = lambda t: re.findall(r"\d+|[^\W\d_]+", t.lower())
+
+    def holds(doc, item):
+        d, i = plain(doc), plain(item)
+        return any(d[k : k + len(i)] == i for k in range(len(d)))
+
+    want = {(d, i) for d, t in rows for i, x in enumerate(items) if holds(t, x)}
+    assert len(want) >= 24
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs_of(spark, rows), bench).collect()}
+    assert want <= got and {d for d, _ in got} == {d for d, _ in want}
+    assert {r["doc_id"] for r in decontamination.clean(docs_of(spark, rows), bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}

@@ -11,8 +11,12 @@ the item, be it word by word or with other numbers, names and units.
 Windows of the benchmark with fewer than ``LITERALS`` plain words say too little and do not count. The first window does not count in the share
 either: what precedes an item in a document decides whether its first word is a name.
 
-Defined cases: null texts are empty and match nothing; items of fewer than five words are
-not searched; rows with one id are one document, each row without an id is one of its own (id null; equal texts are reported once); repeated items are each reported; empty tables yield no rows;
+Items that templates cannot carry, because they have at most five words or because fewer than half of their windows count (lists of names, rows of numbers),
+are searched word for word in the same way: all their windows, of five words or of the whole item, of plain lower-case words.
+Documents are hashed for these lengths only where the benchmark has such items.
+
+Defined cases: null texts are empty and match nothing; items of fewer than three words say
+too little and are not searched; rows with one id are one document, each row without an id is one of its own (id null; equal texts are reported once); repeated items are each reported; empty tables yield no rows;
 other columns are not read.
 """
 
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 from velograde.llm.workdir import rows_below, table
 
 WINDOW, PERCENT, LITERALS = 5, 80, 2
+#: The fewest words of an item that is searched.
+LEAST = 3
 #: Windows of the benchmark are broadcast below so many (about 50 bytes each); else both sides are shuffled.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -66,8 +72,10 @@ def tokenised(rows: DataFrame, text: Column) -> DataFrame:
 
 
 def with_words(rows: DataFrame, text: Column) -> DataFrame:
-    """Add ``words``, the template of a text."""
-    return tokenised(rows, text).withColumn("words", F.filter("typed", lambda x: x.isNotNull())).drop("tokens", "typed")
+    """Add ``words``, the template of a text, and ``plain``, its words in lower case at the same places."""
+    kept = F.filter(F.zip_with("typed", "tokens", lambda w, v: F.struct(w.alias("w"), v.alias("v"))), lambda x: x["w"].isNotNull())
+    added = tokenised(rows, text).withColumn("words", F.filter("typed", lambda x: x.isNotNull()))
+    return added.withColumn("plain", F.transform(kept, lambda x: F.lower(x["v"]))).drop("tokens", "typed")
 
 
 def with_slots(rows: DataFrame, text: Column, name: str) -> DataFrame:
@@ -76,18 +84,34 @@ def with_slots(rows: DataFrame, text: Column, name: str) -> DataFrame:
     return tokenised(rows, text).withColumn(name, F.filter(pairs, lambda x: x["word"].isNotNull())).drop("tokens", "typed")
 
 
-def windows(words: Column) -> Column:
-    """The hash of each window of a template, in order."""
-    last = F.size(words) - WINDOW
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])))
+def windows(words: Column, size: int = WINDOW, *salt: Column) -> Column:
+    """The hash of each window of so many words, in order."""
+    last = F.size(words) - size
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*salt, *[F.get(words, i + k) for k in range(size)])))
+
+
+def plain_windows(size: int) -> Column:
+    """The windows of plain words: apart from the templates' and from those of other lengths."""
+    return windows(F.col("plain"), size, F.lit(f"plain {size}"))
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """(item_id, words, total, at, h): the windows that count."""
+    """(item_id, size, at, h, counts): the windows that are searched; size: 0 for templates, else the number of plain words."""
     rows = with_words(items, F.col("text"))
-    rows = rows.select("item_id", "words", F.posexplode(windows(F.col("words"))).alias("at", "h"))
-    literal = F.size(F.filter(F.slice("words", F.col("at") + 1, WINDOW), lambda w: ~w.startswith("#")))
-    return rows.where(literal >= LITERALS).select("item_id", "at", "h")
+    literal = lambda i: F.size(F.filter(F.slice("words", i + 1, WINDOW), lambda w: ~w.startswith("#")))
+    template = F.filter(F.zip_with(F.sequence(F.lit(0), F.size("words") - WINDOW), windows(F.col("words")), lambda i, h: F.struct(i.alias("at"), h.alias("h"))), lambda x: literal(x["at"]) >= LITERALS)
+    rows = rows.withColumn("n", F.size("words")).withColumn("template", F.when(F.col("n") > WINDOW, template))
+    carried = F.coalesce(2 * F.size(F.filter("template", lambda x: x["at"] > 0)) >= F.col("n") - WINDOW, F.lit(False))
+    # The first window is searched with the others of a template, though it does not count.
+    by_template = rows.where(carried).select("item_id", F.lit(0).alias("size"), F.explode("template").alias("x")).select("item_id", "size", "x.at", "x.h", (F.col("x.at") > 0).alias("counts"))
+    parts = [by_template]
+    for size in range(LEAST, WINDOW + 1):
+        own = rows.where(~carried & (F.col("n") >= size) & (F.lit(size == WINDOW) | (F.col("n") == size)))
+        parts.append(own.select("item_id", F.lit(size).alias("size"), F.posexplode(plain_windows(size)).alias("at", "h"), F.lit(True).alias("counts")).select("item_id", "size", "at", "h", "counts"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -100,12 +124,21 @@ def held(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     docs = docs.select(own_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     wanted = table(benchmark_windows(items), "benchmark-windows")
-    totals = wanted.where("at > 0").groupBy("item_id").agg(F.count_distinct("at").alias("windows"))
+    totals = wanted.where("counts").groupBy("item_id").agg(F.count_distinct("at").alias("windows"))
+    # At most one row for each length.
+    sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())
+    wanted = wanted.drop("size")
     if rows_below(wanted, BROADCAST_WINDOWS):
         wanted = F.broadcast(wanted)
-    found = with_words(docs, F.col("text")).select("key", "doc_id", F.posexplode(windows(F.col("words"))).alias("pos", "h")).join(wanted, "h")
-    found = table(found.select("key", "doc_id", "item_id", "at", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "benchmark-found")
-    shares = found.groupBy("key", "doc_id", "item_id").agg(F.count_distinct(F.when(F.col("at") > 0, F.col("at"))).alias("matched"))
+    each = [windows(F.col("words"))] if 0 in sizes else []
+    each += [plain_windows(n) for n in sizes if n]
+    read = with_words(docs, F.col("text"))
+    parts = [read.select("key", "doc_id", F.posexplode(x).alias("pos", "h")).join(wanted, "h") for x in each or [windows(F.col("words"))]]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    found = table(found.select("key", "doc_id", "item_id", "at", "counts", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "benchmark-found")
+    shares = found.groupBy("key", "doc_id", "item_id").agg(F.count_distinct(F.when(F.col("counts"), F.col("at"))).alias("matched"))
     hits = table(shares.join(totals, "item_id").where(100 * F.col("matched") >= percent * F.col("windows")), "benchmark-hits")
     # Only documents with hits are read again, for the values in their slots.
     read = docs.join(hits.select("key").distinct(), "key", "left_semi")
@@ -147,14 +180,14 @@ def alignments(found: DataFrame, lengths: DataFrame, percent: int) -> DataFrame:
     found = found.join(lengths, "item_id").withColumn("cell", F.floor(F.col("shift") / F.col("length")))
     base = found.groupBy(*names, "cell", F.col("shift").alias("base")).agg(F.count(F.lit(1)).alias("n"))
     best = base.groupBy("key", "item_id").agg(F.max(F.struct("n", "base")).alias("x")).select("key", "item_id", F.col("x.base").alias("base"))
-    spot = found.select("key", "item_id", "at", "shift", "length", "cell")
+    spot = found.select("key", "item_id", "at", "counts", "shift", "length", "cell")
     around = base.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
-    near = around.join(spot, ["key", "item_id", "cell"]).where("abs(shift - base) <= length").select(*names, "base", "at", "shift", F.lit(0).alias("kind"))
-    alone = found.select(*names, F.col("shift").alias("base"), "at", "shift", F.lit(1).alias("kind"))
-    pooled = found.join(best, ["key", "item_id"]).select(*names, "base", "at", "shift", F.lit(2).alias("kind"))
+    near = around.join(spot, ["key", "item_id", "cell"]).where("abs(shift - base) <= length").select(*names, "base", "at", "counts", "shift", F.lit(0).alias("kind"))
+    alone = found.select(*names, F.col("shift").alias("base"), "at", "counts", "shift", F.lit(1).alias("kind"))
+    pooled = found.join(best, ["key", "item_id"]).select(*names, "base", "at", "counts", "shift", F.lit(2).alias("kind"))
     away = F.struct(F.abs(F.col("shift") - F.col("base")).alias("d"), "shift")
-    every = near.union(alone).union(pooled).groupBy(*names, "base", "kind", "at").agg(F.min(away).alias("x"))
-    every = every.groupBy(*names, "base", "kind").agg(F.collect_list(F.struct("at", F.col("x.shift").alias("shift"))).alias("spots"), F.sum((F.col("at") > 0).cast("long")).alias("own"))
+    every = near.union(alone).union(pooled).groupBy(*names, "base", "kind", "at", "counts").agg(F.min(away).alias("x"))
+    every = every.groupBy(*names, "base", "kind").agg(F.collect_list(F.struct("at", F.col("x.shift").alias("shift"))).alias("spots"), F.sum(F.col("counts").cast("long")).alias("own"))
     return every.where(100 * F.col("own") >= percent * F.col("windows")).select(*names, "spots")
 
 
