@@ -73,9 +73,8 @@ def tokenised(rows: DataFrame, text: Column) -> DataFrame:
 
 def with_words(rows: DataFrame, text: Column) -> DataFrame:
     """Add ``words``, the template of a text, and ``plain``, its words in lower case at the same places."""
-    kept = F.filter(F.zip_with("typed", "tokens", lambda w, v: F.struct(w.alias("w"), v.alias("v"))), lambda x: x["w"].isNotNull())
-    added = tokenised(rows, text).withColumn("words", F.filter("typed", lambda x: x.isNotNull()))
-    return added.withColumn("plain", F.transform(kept, lambda x: F.lower(x["v"]))).drop("tokens", "typed")
+    plain = F.filter(F.zip_with("typed", "tokens", lambda w, v: F.when(w.isNotNull(), F.lower(v))), lambda x: x.isNotNull())
+    return tokenised(rows, text).withColumns({"words": F.filter("typed", lambda x: x.isNotNull()), "plain": plain}).drop("tokens", "typed")
 
 
 def with_slots(rows: DataFrame, text: Column, name: str) -> DataFrame:
@@ -97,20 +96,19 @@ def plain_windows(size: int) -> Column:
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """(item_id, size, at, h, counts): the windows that are searched; size: 0 for templates, else the number of plain words."""
-    rows = with_words(items, F.col("text"))
-    literal = lambda i: F.size(F.filter(F.slice("words", i + 1, WINDOW), lambda w: ~w.startswith("#")))
-    template = F.filter(F.zip_with(F.sequence(F.lit(0), F.size("words") - WINDOW), windows(F.col("words")), lambda i, h: F.struct(i.alias("at"), h.alias("h"))), lambda x: literal(x["at"]) >= LITERALS)
-    rows = rows.withColumn("n", F.size("words")).withColumn("template", F.when(F.col("n") > WINDOW, template))
-    carried = F.coalesce(2 * F.size(F.filter("template", lambda x: x["at"] > 0)) >= F.col("n") - WINDOW, F.lit(False))
+    # A table: what a lambda or a later step refers to is not computed again for each element.
+    rows = table(with_words(items, F.col("text")).select("item_id", "words", "plain").withColumn("row", F.monotonically_increasing_id()), "benchmark-words")
+    rows = rows.withColumn("n", F.size("words"))
+    template = rows.where(F.col("n") > WINDOW).select("row", "item_id", "n", "words", F.posexplode(windows(F.col("words"))).alias("at", "h"))
+    literal = F.size(F.filter(F.slice("words", F.col("at") + 1, WINDOW), lambda w: ~w.startswith("#")))
     # The first window is searched with the others of a template, though it does not count.
-    by_template = rows.where(carried).select("item_id", F.lit(0).alias("size"), F.explode("template").alias("x")).select("item_id", "size", "x.at", "x.h", (F.col("x.at") > 0).alias("counts"))
-    parts = [by_template]
+    template = template.where(literal >= LITERALS).select("row", "item_id", "n", F.lit(0).alias("size"), "at", "h", (F.col("at") > 0).alias("counts"))
+    carried = template.where("counts").groupBy("row", "n").agg(F.count(F.lit(1)).alias("some")).where(2 * F.col("some") >= F.col("n") - WINDOW).select("row")
+    names = ["item_id", "size", "at", "h", "counts"]
+    out, rest = template.join(carried, "row", "left_semi").select(*names), rows.join(carried, "row", "left_anti")
     for size in range(LEAST, WINDOW + 1):
-        own = rows.where(~carried & (F.col("n") >= size) & (F.lit(size == WINDOW) | (F.col("n") == size)))
-        parts.append(own.select("item_id", F.lit(size).alias("size"), F.posexplode(plain_windows(size)).alias("at", "h"), F.lit(True).alias("counts")).select("item_id", "size", "at", "h", "counts"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
+        own = rest.where((F.col("n") >= size) & (F.lit(size == WINDOW) | (F.col("n") == size)))
+        out = out.union(own.select("item_id", F.lit(size).alias("size"), F.posexplode(plain_windows(size)).alias("at", "h"), F.lit(True).alias("counts")).select(*names))
     return out
 
 
