@@ -49,7 +49,7 @@ from velograde.llm.workdir import new_path, open_dir, table
 from velograde.shipping import ship
 
 END_ID = 2
-#: Bytes of cached segments that a task keeps; beyond, it starts anew.
+#: Bytes of cached segments that a worker keeps; beyond, it starts anew.
 CACHE_BYTES = 24_000_000
 HEAD = struct.Struct("<QI")
 PAYLOAD = struct.Struct("<qBBI")
@@ -162,7 +162,7 @@ _encoders: dict[str, SegmentEncoder] = {}
 
 
 def encoder(path: str) -> SegmentEncoder:
-    """The tokenizer of this worker process; a task empties the cache when it ends."""
+    """The encoder of this worker process: its cache outlives a task and is bounded."""
     if path not in _encoders:
         _encoders[path] = SegmentEncoder(path)
     return _encoders[path]
@@ -211,7 +211,6 @@ def write_part(directory: str, tokenizer_path: str, end_id: int, batches: Iterat
                     index.write(ENTRY.pack(at, len(data), len(ids)))
                     at, records, tokens = at + len(data), records + 1, tokens + len(ids)
     finally:
-        encode.reset()
         for f in (out, index):
             if f is not None:
                 f.close()
