@@ -150,3 +150,34 @@ def test_edge_file_manifest_and_reports(spark, tmp_path):
     assert [x.name for x in (tmp_path / "out").iterdir()] == ["quality"]
     assert writers.canonical_json({"b": 1, "a": "é"}) == b'{"a":"\\u00e9","b":1}\n'
     assert writers.fixed(spark.range(1).select(F.lit(1234.5).alias("v")), ["v"]).first()["v"] == "1234.500000000"
+
+
+def test_too_few_edges(spark):
+    none = spark.createDataFrame([], "edge_id string, way_id long, pos long, direction string, structure_status string, access_status string, geometry array<struct<lon:double,lat:double>>")
+    assert edges.select(none, 4, least=0).collect() == []
+    with pytest.raises(Exception, match="fewer than 2 usable edges"):
+        edges.select(none, 4).collect()
+
+
+def test_elevations_of_answers(spark):
+    points = spark.createDataFrame([("a", 10.0, i) for i in range(5)] + [("b", 10.0, 0)], "edge_id string, spacing_m double, idx int")
+    answers = spark.createDataFrame([("a", 10.0, 0, [1.0, 2.0]), ("a", 10.0, 1, None), ("a", 10.0, 2, [5.0])], "edge_id string, spacing_m double, batch int, elevations array<double>")
+    found = edges.with_elevations(points, answers, 2).orderBy("edge_id", "idx").collect()
+    assert [(r["edge_id"], r["idx"], r["elevation_m"]) for r in found] == [("a", 0, 1.0), ("a", 1, 2.0), ("a", 2, None), ("a", 3, None), ("a", 4, 5.0), ("b", 0, None)]
+    assert edges.with_elevations(points.limit(0), answers).collect() == []
+
+
+def test_marked_edges_and_new_files(spark):
+    all_edges = spark.createDataFrame([("a",), ("b",), (None,)], "edge_id string")
+    found = edges.marked(all_edges, spark.createDataFrame([("b",), ("b",), (None,)], "edge_id string")).collect()
+    assert {(r["edge_id"], r["chosen"]) for r in found} == {("a", False), ("b", True), (None, False)} and len(found) == 3
+    files = spark.createDataFrame([("x",), ("y",)], "filename string")
+    assert [r["filename"] for r in readers.new_files(files.where("filename = 'x'"), files).collect()] == ["y"] and readers.new_files(files, files).collect() == []
+
+
+def test_edge_files_keep_their_own_digest(spark, tmp_path):
+    for name in ("one", "two"):
+        edge = {"id": name, "name": name, "structure": "normal", "access": "admissible", "samples": [[0.0, 0.0, 1.0], [3.0, 4.0, 2.0]]}
+        (tmp_path / f"{name}.json").write_text(json.dumps({"crs": "EPSG:2154", "geometry_source": "s", "elevation_source": "e", "edges": [edge]}))
+    found = {(r["edge_id"], r["source_sha256"]) for r in readers.edge_samples(spark, str(tmp_path)).collect()}
+    assert found == {(n, hashlib.sha256((tmp_path / f"{n}.json").read_bytes()).hexdigest()) for n in ("one", "two")}

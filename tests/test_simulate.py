@@ -110,3 +110,18 @@ def test_acceleration_signs_and_scenario_rules(spark):
     a = {r["scenario_id"]: (r["down"], r["up"], r["error"]) for r in s.select("scenario_id", acceleration_m_s2(F.lit(3.0), F.lit(-0.05)).alias("down"), acceleration_m_s2(F.lit(3.0), F.lit(0.05)).alias("up"), scenario_error().alias("error")).collect()}
     assert a["calm"][0] > 0 > a["calm"][1] and a["tail"][0] > a["calm"][0]
     assert a["calm"][2] is None and "rider_mass_kg" in a["bad"][2] and "rolling" in a["crr"][2]
+
+
+def test_refused_runs(spark):
+    good, bad = [(100.0, -0.03)], float("nan")
+    schema = "run_id string, profile array<struct<length_m:double,grade_ratio:double>>, " + ", ".join(f"{n} double" for n in simulate.PARAMETERS)
+    cases = {"good": (good, {}), "null": (good, {"time_step_s": None}), "nan": (good, {"max_time_s": bad}), "held": (good, {"time_step_s": 0.0}), "back": (good, {"time_step_s": -1.0}), "empty": ([], {}), "none": (None, {}), "steep": ([(10.0, 0.6)], {})}
+    runs = spark.createDataFrame([(k, p, *[getattr(Scenario(k, **o), n) for n in simulate.PARAMETERS]) for k, (p, o) in cases.items()], schema)
+    why = {r["run_id"]: r["reject_reason"] for r in simulate.rejects(runs).collect()}
+    profile = "profile cannot be simulated"
+    assert why == {"null": "time_step_s must be finite", "nan": "max_time_s must be finite", "held": "time_step_s must be positive", "back": "time_step_s must be positive", "empty": profile, "none": profile, "steep": profile}
+    assert [r["run_id"] for r in simulate.simulate(runs).collect()] == ["good"]
+    assert simulate.simulate(runs.limit(0)).collect() == [] and simulate.rejects(runs.limit(0)).collect() == []
+    assert [r["run_id"] for r in simulate.simulate(runs.where("run_id = 'good'"), strict=True).collect()] == ["good"]
+    with pytest.raises(Exception, match="time_step_s must be positive"):
+        simulate.simulate(runs.where("run_id in ('good', 'back')"), strict=True).collect()

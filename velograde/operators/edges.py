@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from velograde.functions import classify
 from velograde.functions.geometry import lambert93
+from velograde.functions.physics import checked
 
 SPACINGS_M = (2.0, 5.0, 10.0, 25.0)
 LEAST_LENGTH_M = 1e-9
@@ -56,12 +57,22 @@ def densify(edges: DataFrame, spacing_m) -> DataFrame:
     return rows.select("edge_id", "spacing_m", (F.row_number().over(out) - 1).alias("idx"), "lon", "lat", "x_m", "y_m", chainage.alias("chainage_m"))
 
 
-def select(edges: DataFrame, most: int, low_m: float = 80.0, high_m: float = 2000.0, spacing_m: float = 25.0) -> DataFrame:
-    """The first ``most`` usable edges in input order: forward, normal, admissible, of a length in the range, one per way."""
+def select(edges: DataFrame, most: int, low_m: float = 80.0, high_m: float = 2000.0, spacing_m: float = 25.0, least: int = 2) -> DataFrame:
+    """The first ``most`` usable edges in input order: forward, normal, admissible, of a length in the range, one per way.
+
+    Fewer than ``least`` of them (or ``most``, if that is less) are an error of the job. At most ``most`` rows, a parameter, are gathered for that.
+    """
     usable = edges.where("direction = 'forward' and structure_status = 'normal' and access_status = 'admissible'")
     length = densify(usable, spacing_m).groupBy("edge_id").agg(F.max("chainage_m").alias("length_m")).where(F.col("length_m").between(low_m, high_m))
     ranked = usable.join(length, "edge_id").withColumn("_n", F.row_number().over(W.partitionBy("way_id").orderBy("pos"))).where("_n = 1").drop("_n")
-    return ranked.orderBy("pos").limit(most)
+    chosen = ranked.orderBy("pos").limit(most)
+    least = min(least, most)
+    if least <= 0:
+        return chosen
+    names = ["pos", *[c for c in chosen.columns if c != "pos"]]
+    found = chosen.agg(F.collect_list(F.struct(*names)).alias("rows"))
+    enough = checked(F.col("rows"), F.size("rows") >= least, f"fewer than {least} usable edges")
+    return found.select(F.explode(enough).alias("row")).select("row.*").select(*chosen.columns)
 
 
 def elevation_batches(points: DataFrame, size: int = 200) -> DataFrame:
@@ -72,6 +83,23 @@ def elevation_batches(points: DataFrame, size: int = 200) -> DataFrame:
     return rows.select("edge_id", "spacing_m", "batch", F.size("p").alias("points"), text("lon").alias("lon"), text("lat").alias("lat"))
 
 
+def with_elevations(points: DataFrame, answers: DataFrame, size: int = 200) -> DataFrame:
+    """Points (edge_id, spacing_m, idx, ...) with the elevations of their batches (edge_id, spacing_m, batch, elevations).
+
+    ``size`` is that of the requests. Points whose batch has no answer, or none of the right length (null
+    elevations), keep a null elevation, which the rules on samples refuse.
+    """
+    values = answers.select("edge_id", "spacing_m", "batch", F.posexplode("elevations").alias("_at", "elevation_m"))
+    values = values.select("edge_id", "spacing_m", (F.col("batch") * size + F.col("_at")).alias("idx"), "elevation_m")
+    return points.join(values, ["edge_id", "spacing_m", "idx"], "left")
+
+
+def marked(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The edges with ``chosen``: whether their id is among those of the other table."""
+    ids = chosen.select("edge_id").distinct().withColumn("chosen", F.lit(True))
+    return edges.join(ids, "edge_id", "left").withColumn("chosen", F.col("chosen").isNotNull())
+
+
 def at_spacings(edges: DataFrame, spacings=SPACINGS_M) -> DataFrame:
     """Each edge with each spacing: a few rows of parameters, broadcast."""
     spark = edges.sparkSession

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velograde.functions.physics import PARAMETERS
+from velograde.functions.physics import PARAMETERS, scenario_error
 from velograde.shipping import ship
 
 EPS = 1e-12
@@ -199,11 +199,24 @@ def valid_profile() -> "F.Column":
     return (F.size("profile") > 0) & F.coalesce(good, F.lit(False))
 
 
-def simulate(runs: DataFrame, what: str = "summary") -> DataFrame:
+def run_error() -> "F.Column":
+    """Why a run is refused, null if it is not: its scenario first, then its profile."""
+    return F.coalesce(scenario_error(), F.when(~F.coalesce(valid_profile(), F.lit(False)), F.lit("profile cannot be simulated")))
+
+
+def rejects(runs: DataFrame) -> DataFrame:
+    """(run_id, reject_reason) of the runs that :func:`simulate` leaves out."""
+    return runs.select("run_id", run_error().alias("reject_reason")).where("reject_reason is not null")
+
+
+def simulate(runs: DataFrame, what: str = "summary", strict: bool = False) -> DataFrame:
     """Simulate runs (run_id, profile, parameters of a scenario): one summary row per run, or its trace.
 
-    Runs whose profile can't be simulated are left out; ask :func:`valid_profile` for them.
+    Runs with a parameter (null ones too) or a profile that cannot be simulated are left out, and :func:`rejects`
+    has them with the reason; ``strict`` ends the job at the first of them instead. No runs give no rows.
     """
     ship(runs.sparkSession)
-    rows = runs.where(valid_profile()).select("run_id", "profile", *PARAMETERS)
+    reason = run_error()
+    kept = F.when(reason.isNull(), F.lit(True)).otherwise(F.raise_error(reason) if strict else F.lit(False))
+    rows = runs.where(kept).select("run_id", "profile", *PARAMETERS)
     return rows.mapInArrow(summarise, SUMMARY) if what == "summary" else rows.mapInArrow(trace, TRACE)

@@ -221,6 +221,33 @@ def simulate_trace(spark, sf_dir):
     return s.select("run_id", "step", *[F.round(c, 6).alias(c) for c in ("time_s", "distance_m", "speed_m_s")])
 
 
+def scenario_rejects(spark, sf_dir):
+    """Why runs are refused, under a good scenario and seven wrong ones, one of them for each kind of rule."""
+    return simulate.rejects(simulate.with_scenarios(_profiles(spark, sf_dir), derive.refused(spark)))
+
+
+def elevation_profiles(spark, sf_dir):
+    """Points of the polylines at 10 m with elevations from the answers to their requests; some answers are too long."""
+    points = edges.densify(derive.polylines(spark, sf_dir), 10.0)
+    batches = edges.elevation_batches(points)
+    last = F.col("points") - F.when(F.col("edge_id") % 13 == 5, 0).otherwise(1)
+    values = F.transform(F.sequence(F.lit(0), last), lambda i: 100.0 + (F.col("batch") * 200 + i) % 7)
+    answers = batches.withColumn("elevations", readers.decode_elevations(F.to_json(F.struct(values.alias("elevations"))), F.col("points")))
+    return edges.with_elevations(points, answers).select("edge_id", "idx", "elevation_m")
+
+
+def chosen_edges(spark, sf_dir):
+    """Directed edges, marked where they are among the selected ones."""
+    directed = edges.directed(derive.ways(spark, sf_dir))
+    return edges.marked(directed.select("edge_id", "way_id"), edges.select(directed, 4, low_m=10.0))
+
+
+def new_files(spark, sf_dir):
+    """Documents as files that a run added to those that were held."""
+    after = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("filename"), "doc_id")
+    return readers.new_files(after.where("doc_id % 3 <> 0"), after).select("filename")
+
+
 def _wide(query):
     """The query with its integers as 64-bit ones, as DuckDB has them."""
 
@@ -238,6 +265,7 @@ QUERIES = {
         profile_segments, chainage, edge_reverse, profile_points, segment_ends, segment_lookup, acceleration_grid, projected_points, densified, spacing_comparison,
         elevation_requests, way_classes, directed_edges, selected_edges, structure_review, edge_quality, uncertain_edges, validation_rejects, accepted_segments, profile_statistics,
         distinct_profiles, bounding_box, stride_sample, manifest_check, unit_conversions, simulate_summary, stop_reason_counts, sensitivity_grid, rotation_effect, simulate_trace,
+        scenario_rejects, elevation_profiles, chosen_edges, new_files,
     )
 }
 ORACLE_SQL: dict[str, str] = oracle.SQL

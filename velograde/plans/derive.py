@@ -75,3 +75,12 @@ def grid(spark: SparkSession) -> DataFrame:
     """Scenarios around the default: mass, rolling resistance and wind."""
     rows = [Scenario(f"m{m:g}_c{c:g}_w{w:g}", rider_mass_kg=m, rolling_resistance_coefficient=c, along_route_wind_m_s=w, time_step_s=0.2) for m in (60.0, 75.0, 90.0) for c in (0.004, 0.006) for w in (-2.0, 2.0)]
     return scenarios(spark, *rows)
+
+
+def refused(spark: SparkSession) -> DataFrame:
+    """A good scenario, and one for each kind of rule that refuses one."""
+    rows = [
+        Scenario("good"), Scenario("nan", along_route_wind_m_s=float("nan")), Scenario("endless", max_time_s=float("inf")), Scenario("light", rider_mass_kg=0.0),
+        Scenario("held", time_step_s=0.0), Scenario("back", time_step_s=-1.0), Scenario("dwell", stop_dwell_s=-1.0), Scenario("rough", rolling_resistance_coefficient=0.1),
+    ]
+    return scenarios(spark, *rows)

@@ -201,3 +201,17 @@ FROM sim WHERE reason <> ''""",
     "stop_reason_counts": f"WITH RECURSIVE {SIMULATED} SELECT reason AS stop_reason, count(*) AS runs, round(avg(t), 4) AS mean_time_s FROM sim WHERE reason <> '' GROUP BY reason",
     "simulate_trace": f"WITH RECURSIVE {SIMULATED} SELECT edge_id || '/coarse' AS run_id, step, round(t, 6) AS time_s, round(d, 6) AS distance_m, round(v, 6) AS speed_m_s FROM sim WHERE moved",
 }
+
+NAN, INF = "'nan'::DOUBLE", "'infinity'::DOUBLE"
+SQL["scenario_rejects"] = f"""WITH {LINES}, given(scenario_id, mass, crr, wind, dt, dwell, longest) AS (
+  VALUES ('good', 75.0::DOUBLE, 0.006::DOUBLE, 0.0::DOUBLE, 0.05::DOUBLE, 2.0::DOUBLE, 21600.0::DOUBLE), ('nan', 75.0, 0.006, {NAN}, 0.05, 2.0, 21600.0), ('endless', 75.0, 0.006, 0.0, 0.05, 2.0, {INF}), ('light', 0.0, 0.006, 0.0, 0.05, 2.0, 21600.0),
+         ('held', 75.0, 0.006, 0.0, 0.0, 2.0, 21600.0), ('back', 75.0, 0.006, 0.0, -1.0, 2.0, 21600.0), ('dwell', 75.0, 0.006, 0.0, 0.05, -1.0, 21600.0), ('rough', 75.0, 0.1, 0.0, 0.05, 2.0, 21600.0)),
+why AS (
+  SELECT scenario_id, CASE WHEN isnan(wind) OR isinf(wind) THEN 'along_route_wind_m_s must be finite' WHEN isnan(longest) OR isinf(longest) THEN 'max_time_s must be finite' WHEN mass <= 0 THEN 'rider_mass_kg must be positive'
+                           WHEN dt <= 0 THEN 'time_step_s must be positive' WHEN dwell < 0 THEN 'stop_dwell_s cannot be negative' WHEN crr < 0 OR crr >= 0.1 THEN 'rolling_resistance_coefficient must be within [0, 0.1)' END AS reject_reason
+  FROM given)
+SELECT edge_id || '/' || scenario_id AS run_id, reject_reason FROM (SELECT DISTINCT edge_id FROM lines) CROSS JOIN why WHERE reject_reason IS NOT NULL"""
+SQL["elevation_profiles"] = f"""WITH {POLYLINES}, {_densify("10.0::DOUBLE")}
+SELECT edge_id, idx, CASE WHEN edge_id % 13 <> 5 THEN 100.0::DOUBLE + idx % 7 END AS elevation_m FROM densified"""
+SQL["chosen_edges"] = f"""SELECT edge_id, way_id, edge_id IN (SELECT edge_id FROM ({SQL["selected_edges"]})) AS chosen FROM ({SQL["directed_edges"]})"""
+SQL["new_files"] = "SELECT 'doc-' || doc_id AS filename FROM documents WHERE doc_id % 3 = 0"

@@ -15,16 +15,16 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def edge_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of the edges of a file, with chainage, elevation dataset, flags and the file's digest."""
-    content = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("source_sha256"))
-    edges = _json(spark, path, EDGE_FILE).select("crs", "geometry_source", "elevation_source", F.posexplode("edges").alias("pos", "e"))
-    rows = edges.select("crs", "geometry_source", "elevation_source", "pos", "e.id", "e.name", "e.structure", "e.access", F.posexplode("e.samples").alias("sample_idx", "p"))
+    """Samples of the edges of files, with chainage, elevation dataset, flags and the digest of the own file."""
+    files = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("source_sha256"), F.from_json(F.col("content").cast("string"), EDGE_FILE).alias("f"))
+    edges = files.select("source_sha256", "f.crs", "f.geometry_source", "f.elevation_source", F.posexplode("f.edges").alias("pos", "e"))
+    rows = edges.select("source_sha256", "crs", "geometry_source", "elevation_source", "pos", "e.id", "e.name", "e.structure", "e.access", F.posexplode("e.samples").alias("sample_idx", "p"))
     s = F.col("structure")
     rows = rows.select(
-        F.col("id").alias("edge_id"), "pos", "sample_idx", F.get("p", F.lit(0)).alias("x_m"), F.get("p", F.lit(1)).alias("y_m"), F.get("p", F.lit(2)).alias("elevation_m"),
+        F.col("id").alias("edge_id"), "pos", "sample_idx", "source_sha256", F.get("p", F.lit(0)).alias("x_m"), F.get("p", F.lit(1)).alias("y_m"), F.get("p", F.lit(2)).alias("elevation_m"),
         "crs", F.col("access").alias("access_status"), s.alias("structure_status"), elevation_dataset(s).alias("elevation_dataset"), quality_flags(s).alias("quality_flags"), "geometry_source", "elevation_source",
     )
-    return with_chainage(rows).crossJoin(F.broadcast(content.limit(1)))
+    return with_chainage(rows)
 
 
 def ways(spark: SparkSession, path: str) -> DataFrame:
@@ -62,6 +62,11 @@ def verify(listed: DataFrame, held: DataFrame) -> DataFrame:
     return joined.select("filename", "sha256", "actual", status.alias("status"))
 
 
+def new_files(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The files (filename, ...) that are held after a run and were not before."""
+    return after.join(before, "filename", "left_anti")
+
+
 def held_files(spark: SparkSession, folder: str) -> DataFrame:
     """(filename, bytes, actual) of the files of a folder."""
     return spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("actual"))
