@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Fixed value: why an edge off the ground has no elevation.
+UNCERTAIN = "roadway elevation unavailable; terrain DEM forbidden"
+
+
 def quality_flags(structure: Column) -> Column:
     return F.when(structure != "normal", F.array(F.lit("roadway_elevation_unknown"))).otherwise(F.array().cast("array<string>"))
 
@@ -27,7 +31,7 @@ def edge_quality(edges: DataFrame) -> DataFrame:
 
 def uncertain_edges(edges: DataFrame) -> DataFrame:
     """Edges that need another source of elevation."""
-    return edges.where("structure_status <> 'normal'").select("edge_id", F.col("structure_status").alias("structure"), F.lit("roadway elevation unknown").alias("reason"))
+    return edges.where("structure_status <> 'normal'").select("edge_id", F.col("structure_status").alias("structure"), F.lit(UNCERTAIN).alias("reason"))
 
 
 def structure_review(edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from velograde.functions import classify, physics
 from velograde.functions.geometry import lambert93
-from velograde.operators import edges, profiles, quality, simulate
+from velograde.operators import edges, profiles, quality, reports, simulate
 from velograde.plans import derive, oracle
 from velograde.sources import readers
 
@@ -248,6 +248,60 @@ def new_files(spark, sf_dir):
     return readers.new_files(after.where("doc_id % 3 <> 0"), after).select("filename")
 
 
+def _live(spark, sf_dir):
+    """The first eight usable edges, and their points at four spacings with elevations that fall along the edge."""
+    chosen = edges.select(edges.directed(derive.ways(spark, sf_dir)), 8)
+    last = F.col("points") - 1
+    values = F.transform(F.sequence(F.lit(0), last), lambda i: 1000.0 - (F.col("batch") * 200 + i) * F.col("spacing_m") * 0.03 + ((F.col("batch") * 200 + i) % 3) * 0.05)
+    points = reports.live_points(chosen, lambda asked: asked.withColumn("elevations", readers.decode_elevations(F.to_json(F.struct(values.alias("elevations"))), F.col("points"))))
+    return chosen, points
+
+
+def live_profiles(spark, sf_dir):
+    """Points of live profiles as they are written."""
+    rows = reports.profile_table(_live(spark, sf_dir)[1], "2026-01-01")
+    return rows.select("edge_id", "spacing_m", "idx", "source", "retrieved_at", *[F.round(c, n).alias(c) for c, n in (("chainage_m", 2), ("longitude", 8), ("latitude", 8), ("x_epsg2154_m", 2), ("y_epsg2154_m", 2), ("elevation_rge_alti_m", 6))])
+
+
+def sampling_comparison(spark, sf_dir):
+    """Statistics and a run of the profiles of chosen edges at four spacings."""
+    chosen, points = _live(spark, sf_dir)
+    rows = reports.sampling_comparison(points, chosen, "2026-01-01")
+    return rows.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+
+
+def profile_simulations(spark, sf_dir):
+    """Times of the default run on each edge that holds, with a coarse step."""
+    samples = derive.samples(spark, sf_dir)
+    rows = reports.profile_simulations(samples, physics.Scenario("coarse", time_step_s=0.5, max_time_s=120.0))
+    return rows.select("edge_id", "stop_reason", *[F.round(c, 6).alias(c) for c in reports.TIMES])
+
+
+def graph_quality(spark, sf_dir):
+    """Directed edges as a report."""
+    return reports.graph_quality(edges.directed(derive.ways(spark, sf_dir)))
+
+
+def structure_decisions(spark, sf_dir):
+    """Edges off the ground as a report."""
+    return reports.structure_decisions(edges.directed(derive.ways(spark, sf_dir)))
+
+
+def extraction_counts(spark, sf_dir):
+    """The counts of a summary; every seventh event stands for a restriction."""
+    directed = edges.directed(derive.ways(spark, sf_dir))
+    relations = derive.ways(spark, sf_dir).where("id % 7 = 0").agg(F.count(F.lit(1)).alias("relations"))
+    return reports.extraction_counts(directed, edges.select(directed, 8), relations)
+
+
+def scenario_groups(spark, sf_dir):
+    """Scenarios of the grid by mass, in the order of the first of each."""
+    runs = derive.grid(spark).select("rider_mass_kg", "rolling_resistance_coefficient", "along_route_wind_m_s")
+    pos = F.when(F.col("rider_mass_kg") == 75, 0).when(F.col("rider_mass_kg") == 60, 10).otherwise(20) + F.when(F.col("along_route_wind_m_s") > 0, 1).otherwise(0) + F.when(F.col("rolling_resistance_coefficient") > 0.005, 2).otherwise(0)
+    grouped = reports.by_scenario(runs.select(F.format_string("m%.0f", "rider_mass_kg").alias("scenario"), pos.alias("pos"), F.col("along_route_wind_m_s").alias("wind")))
+    return grouped.select("scenario", "first", F.array_join(F.transform("runs", lambda r: F.format_string("%d:%.0f", r["pos"], r["wind"])), ";").alias("runs"))
+
+
 def _wide(query):
     """The query with its integers as 64-bit ones, as DuckDB has them."""
 
@@ -265,7 +319,7 @@ QUERIES = {
         profile_segments, chainage, edge_reverse, profile_points, segment_ends, segment_lookup, acceleration_grid, projected_points, densified, spacing_comparison,
         elevation_requests, way_classes, directed_edges, selected_edges, structure_review, edge_quality, uncertain_edges, validation_rejects, accepted_segments, profile_statistics,
         distinct_profiles, bounding_box, stride_sample, manifest_check, unit_conversions, simulate_summary, stop_reason_counts, sensitivity_grid, rotation_effect, simulate_trace,
-        scenario_rejects, elevation_profiles, chosen_edges, new_files,
+        scenario_rejects, elevation_profiles, chosen_edges, new_files, live_profiles, sampling_comparison, profile_simulations, graph_quality, structure_decisions, extraction_counts, scenario_groups,
     )
 }
 ORACLE_SQL: dict[str, str] = oracle.SQL

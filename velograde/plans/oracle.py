@@ -103,10 +103,10 @@ steps AS (
 densified AS (SELECT *, sum(step) OVER (PARTITION BY edge_id, spacing_m ORDER BY idx ROWS UNBOUNDED PRECEDING) AS chainage_m FROM steps)"""
 
 
-def _simulation(dt: float, longest: float) -> str:
+def _simulation(dt: float, longest: float, lines: str = LINES) -> str:
     """The event-split fold as a recursion of one substep per level, over all edges; default scenario."""
     eps, stop, dwell, v0 = "1e-12::DOUBLE", "0.3::DOUBLE", "2.0::DOUBLE", f"{15 / 3.6!r}::DOUBLE"
-    return f"""{LINES},
+    return f"""{lines},
 prof AS (
   SELECT edge_id, list(end_m ORDER BY segment) AS ends, list(grade_ratio ORDER BY segment) AS grades, max(end_m) AS len, count(*) AS n
   FROM (SELECT *, sum(length_m) OVER (PARTITION BY edge_id ORDER BY segment ROWS UNBOUNDED PRECEDING) AS end_m FROM lines) GROUP BY edge_id),
@@ -178,7 +178,7 @@ SELECT 'osm-way-' || way_id || '-forward' AS edge_id, way_id, round(m, 2) AS len
     "structure_review": f"""WITH {WAYS}, d AS (SELECT *, UNNEST(directions) AS direction FROM classed WHERE highway IS NOT NULL)
 SELECT 'osm-way-' || way_id || '-' || direction AS edge_id, structure_status AS structure, access_status AS access, {TAG_JSON} AS tags FROM d WHERE structure_status <> 'normal'""",
     "edge_quality": f"WITH {SAMPLES} SELECT DISTINCT edge_id, access_status AS access, structure_status AS structure, structure_status = 'normal' AS simulable, CASE WHEN structure_status <> 'normal' THEN 'roadway_elevation_unknown' ELSE '' END AS quality_flags FROM samples",
-    "uncertain_edges": f"WITH {SAMPLES} SELECT DISTINCT edge_id, structure_status AS structure, 'roadway elevation unknown' AS reason FROM samples WHERE structure_status <> 'normal'",
+    "uncertain_edges": f"WITH {SAMPLES} SELECT DISTINCT edge_id, structure_status AS structure, 'roadway elevation unavailable; terrain DEM forbidden' AS reason FROM samples WHERE structure_status <> 'normal'",
     "validation_rejects": f"WITH {FLAWED}, {SEGMENTS}, {REJECTS} SELECT edge_id, reject_reason, segment FROM rejects WHERE reject_reason IS NOT NULL",
     "accepted_segments": f"WITH {FLAWED}, {SEGMENTS}, {REJECTS} SELECT edge_id, count(*) AS segments, round(sum(travelled_length_m), 6) AS length_m FROM segs JOIN rejects USING (edge_id) WHERE reject_reason IS NULL GROUP BY edge_id",
     "profile_statistics": f"""WITH {SAMPLES}, {SEGMENTS}
@@ -215,3 +215,39 @@ SQL["elevation_profiles"] = f"""WITH {POLYLINES}, {_densify("10.0::DOUBLE")}
 SELECT edge_id, idx, CASE WHEN edge_id % 13 <> 5 THEN 100.0::DOUBLE + idx % 7 END AS elevation_m FROM densified"""
 SQL["chosen_edges"] = f"""SELECT edge_id, way_id, edge_id IN (SELECT edge_id FROM ({SQL["selected_edges"]})) AS chosen FROM ({SQL["directed_edges"]})"""
 SQL["new_files"] = "SELECT 'doc-' || doc_id AS filename FROM documents WHERE doc_id % 3 = 0"
+
+USABLE = _points("SELECT way_id AS edge_id, i, 6.1::DOUBLE + 0.0001::DOUBLE * (way_id % 97 + 7 * i) AS lon, 45.1::DOUBLE + 0.0001::DOUBLE * (way_id % 89 + 5 * i) AS lat FROM classed, range(3) AS r(i) WHERE list_contains(directions, 'forward') AND highway IS NOT NULL AND structure_status = 'normal' AND access_status = 'admissible'")
+LIVE = f"""{WAYS}, {USABLE.replace("pts AS", "all_pts AS")},
+reached AS (SELECT edge_id, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS m FROM all_pts WINDOW w AS (PARTITION BY edge_id ORDER BY i)),
+picked AS (SELECT edge_id FROM reached GROUP BY edge_id HAVING sum(m) BETWEEN 80 AND 2000 ORDER BY edge_id LIMIT 8),
+pts AS (SELECT * FROM all_pts SEMI JOIN picked USING (edge_id)),
+{_densify("spacing", "SELECT UNNEST([2.0, 5.0, 10.0, 25.0]::DOUBLE[]) AS spacing")},
+live AS (SELECT *, 1000.0::DOUBLE - idx * spacing_m * 0.03::DOUBLE + (idx % 3) * 0.05::DOUBLE AS z FROM densified)"""
+SQL["live_profiles"] = f"""WITH {LIVE}
+SELECT 'osm-way-' || edge_id || '-forward' AS edge_id, spacing_m, idx, 'live' AS source, '2026-01-01' AS retrieved_at, round(chainage_m, 2) AS chainage_m, round(lon, 8) AS longitude, round(lat, 8) AS latitude,
+       round(x_m, 2) AS x_epsg2154_m, round(y_m, 2) AS y_epsg2154_m, round(z, 6) AS elevation_rge_alti_m FROM live"""
+LIVE_LINES = f"""{LIVE},
+live_pairs AS (SELECT edge_id, spacing_m, idx, sqrt((lead(x_m) OVER w - x_m) ** 2 + (lead(y_m) OVER w - y_m) ** 2) AS horizontal, lead(z) OVER w - z AS dz FROM live WINDOW w AS (PARTITION BY edge_id, spacing_m ORDER BY idx)),
+live_segs AS (SELECT *, dz / horizontal AS grade, sqrt(horizontal * horizontal + dz * dz) AS travelled FROM live_pairs WHERE dz IS NOT NULL),
+lines AS (SELECT edge_id || '@' || spacing_m AS edge_id, idx AS segment, travelled AS length_m, grade AS grade_ratio FROM live_segs)"""
+TIMES = """round(t, 6) AS elapsed_time_s, round(t - still, 6) AS moving_time_s, round(still, 6) AS stationary_time_s, round(fb, 6) AS first_below_threshold_time_s, round(fz, 6) AS first_zero_speed_time_s,
+       round(CASE WHEN reason = 'speed_threshold' THEN t END, 6) AS qualified_stop_time_s, reason AS stop_reason"""
+SQL["sampling_comparison"] = f"""WITH RECURSIVE {_simulation(0.05, 21600.0, LIVE_LINES)},
+stats AS (
+  SELECT edge_id AS way, spacing_m, sum(horizontal) AS h, sum(travelled) AS l, sum(dz) AS net, sum(greatest(0.0, dz)) AS up, -sum(least(0.0, dz)) AS down, min(grade) AS least_grade, max(grade) AS most_grade,
+         quantile_cont(grade, 0.05) AS q05, quantile_cont(grade, 0.5) AS q50, quantile_cont(grade, 0.95) AS q95, count(*) FILTER (abs(grade) > 0.5) AS anomaly_count
+  FROM live_segs GROUP BY 1, 2)
+SELECT 'live' AS source, '2026-01-01' AS retrieved_at, way AS osm_way_id, 'osm-way-' || way || '-forward' AS edge_id, spacing_m, round(h, 6) AS horizontal_length_m, round(l, 6) AS travelled_length_m, round(net, 6) AS net_dz_m, round(up, 6) AS ascent_m, round(down, 6) AS descent_m,
+       round(least_grade, 6) AS min_grade_ratio, round(q05, 6) AS q05_grade_ratio, round(q50, 6) AS median_grade_ratio, round(q95, 6) AS q95_grade_ratio, round(most_grade, 6) AS max_grade_ratio, anomaly_count, {TIMES}, highway, '' AS surface
+FROM stats JOIN sim ON sim.edge_id = way || '@' || spacing_m AND reason <> '' JOIN classed ON classed.way_id = way"""
+SQL["profile_simulations"] = f"""WITH RECURSIVE {_simulation(0.5, 120.0, f"{FLAWED.split(', samples AS')[0]}, samples AS (SELECT edge_id, sample_idx, x_m, y_m, z AS elevation_m, 'EPSG:2154' AS crs, structure_status, 'terrain model' AS dataset FROM raw WHERE structure_status = 'normal'), {SEGMENTS}, {REJECTS}").replace("FROM lines) GROUP BY edge_id),", "FROM (SELECT edge_id, segment, travelled_length_m AS length_m, grade_ratio FROM segs SEMI JOIN (SELECT edge_id FROM rejects WHERE reject_reason IS NULL) USING (edge_id))) GROUP BY edge_id),", 1)}
+SELECT edge_id, {TIMES} FROM sim WHERE reason <> ''"""
+SQL["graph_quality"] = f"""SELECT 'live' AS source, edge_id, way_id AS osm_way_id, direction, access_status AS access, structure_status AS structure FROM ({SQL["directed_edges"]})"""
+SPACED_JSON = "'{' || concat_ws(', ', " + ", ".join(f"""'"{k}": "' || {c} || '"'""" for k, c in TAGS) + ") || '}'"
+SQL["structure_decisions"] = f"""WITH {WAYS}, d AS (SELECT *, UNNEST(directions) AS direction FROM classed WHERE highway IS NOT NULL)
+SELECT 'live' AS source, way_id AS osm_way_id, structure_status AS structure, {SPACED_JSON} AS osm_tags, 'catalogue discovered; compact object match pending' AS bd_topo_status, 'review_required' AS decision FROM d WHERE structure_status <> 'normal'"""
+SQL["extraction_counts"] = f"""WITH {LIVE} SELECT (SELECT sum(len(directions))::BIGINT FROM classed WHERE highway IS NOT NULL) AS directed_edges, (SELECT count(*) FROM picked) AS selected_profile_edges, (SELECT count(*) FROM ways WHERE way_id % 7 = 0) AS restriction_relations"""
+SQL["scenario_groups"] = """WITH g AS (
+  SELECT m, w, CASE m WHEN 75 THEN 0 WHEN 60 THEN 10 ELSE 20 END + CASE WHEN w > 0 THEN 1 ELSE 0 END + CASE WHEN c > 0.005 THEN 2 ELSE 0 END AS pos
+  FROM (VALUES (60), (75), (90)) AS a(m), (VALUES (0.004), (0.006)) AS b(c), (VALUES (-2), (2)) AS d(w))
+SELECT 'm' || m AS scenario, min(pos)::BIGINT AS first, string_agg(pos || ':' || w, ';' ORDER BY pos) AS runs FROM g GROUP BY m"""

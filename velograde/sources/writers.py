@@ -20,10 +20,10 @@ def title_booleans(df: DataFrame) -> DataFrame:
 
 
 def csv(df: DataFrame, path: str, crlf: bool = False, single: bool = True, partition_by: tuple[str, ...] = ()) -> None:
-    """A report with header; null is empty. ``single``: reports are small; tables by partition keep their files."""
+    """A report with header; null is empty, quotes are doubled. ``single``: reports are small; tables by partition keep their files."""
     rows = title_booleans(df)
     rows = rows.coalesce(1) if single and not partition_by else rows
-    writer = rows.write.mode("overwrite").option("header", True).option("emptyValue", "").option("nullValue", "")
+    writer = rows.write.mode("overwrite").option("header", True).option("emptyValue", "").option("nullValue", "").option("escape", "\"")
     if crlf:
         writer = writer.option("lineSep", "\r\n")
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
@@ -62,6 +62,13 @@ def publish(spark: SparkSession, target: str, write) -> None:
         raise
 
 
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """Copy a report, byte by byte."""
+    a, fs = _fs(spark, source)
+    b, other = _fs(spark, target)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, other, b, False, spark._jsc.hadoopConfiguration())
+
+
 def markdown(df: DataFrame, title: str, most: int = 200) -> str:
     """A small report as a Markdown table; more than ``most`` rows are an error, not a cut."""
     rows = df.limit(most + 1).collect()
