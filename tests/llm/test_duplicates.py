@@ -70,6 +70,14 @@ def test_exact(spark):
     assert index.read().count() == len(groups)
     index.append(exact_dedup.groups(exact_dedup.digests(docs_of(spark, [(50, "a  b"), (51, "new"), (52, "n e w")]))))
     assert index.read().count() == len(groups) + 1
+    # The rows of all batches count, and the text that came first stays.
+    by = {r["text_sha256"]: r for r in exact_dedup.resolve(exact_dedup.digests(docs_of(spark, [(60, "a b"), (61, "new")])), index).collect()}
+    of = lambda text: by[hashlib.sha256(text.encode()).hexdigest()]
+    assert (of("ab")["keep_id"], of("ab")["group_size"], of("ab")["kept"]) == (next(keep for i, keep, *_ in want if i == 1), len(groups["ab"]) + 1, False)
+    assert (of("new")["keep_id"], of("new")["group_size"]) == (52, 2)
+    tables = {t.name for t in spark.catalog.listTables()}
+    exact_dedup.deduplicate(docs_of(spark, rows))
+    assert {t.name for t in spark.catalog.listTables()} == tables
     index.drop()
     assert exact_dedup.deduplicate(docs_of(spark, [])).count() == 0
 
