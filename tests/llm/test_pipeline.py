@@ -63,3 +63,37 @@ def test_the_subpackage_is_all_that_needs_it():
             for n in names:
                 if n.endswith(".py"):
                     assert "velograde.llm" not in open(os.path.join(folder, n)).read(), n
+
+
+def test_stages_carry_odd_rows_and_clashing_columns(spark):
+    """Null and empty texts, rows without an id, repeated rows, and columns named like those of the stages."""
+    import corpus_pipeline
+
+    from pyspark.sql import functions as F
+
+    extra = ("row", "position", "key", "label", "score", "size", "target", "_held", "_copy", "hash", "component", "item_id", "text_")
+    given = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    odd = [(None, None, None, None, None), (None, "", "en", "s", 0), (900001, None, "en", None, 0), (900002, "", "en", "s", 0), (900003, " \n ", "en", "s", 3), (900004, "one", "en", "s", 3), (900005, "x" * 200_000, "en", "s", 200_000)]
+    docs = given.union(spark.createDataFrame(odd, given.schema)).union(given.limit(5)).select("*", *[F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id"), F.lit(-1))).alias(c) for c in extra])
+    docs = table(docs, "test-odd")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = table(stage(spark, docs, DATA), f"test-odd-{name}")
+        assert after.columns == docs.columns, name
+        # Each row keeps its own values.
+        assert after.where(" or ".join(f"{c} <> concat('{c}-', coalesce(doc_id, -1))" for c in extra)).isEmpty(), name
+        before, now = (Counter((r["doc_id"], r["text"]) for r in x.select("doc_id", "text").collect()) for x in (docs, after))
+        assert now and set(now) <= set(before), name
+        if name != "mixing":
+            assert all(now[k] <= before[k] for k in now), name
+        docs = after
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == docs.count()
+
+
+def test_stages_of_empty_tables(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = table(stage(spark, docs, DATA), f"test-empty-{name}")
+        assert docs.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == 0
