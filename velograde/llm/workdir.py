@@ -36,11 +36,11 @@ def open_dir(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back."""
+def table(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back; ``codec``: how it is compressed, if not as the session says."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     back = spark.read.schema(df.schema).parquet(path)
     back._velograde_path = path
     return back
