@@ -42,6 +42,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 2000
 PREFIXES = (4, 5, 6, 7)
 BITS = 18
 SEGMENT, BLOCK = 48, 64
+#: The fit reads all segments of its sample that hold tied tokens, and of the others so many for each of these (or for each of so many, if there are fewer).
+SAMPLE_PLAIN, PLAIN_LEAST = 3, 500
 EPOCHS, RATE, DECAY = 12, 0.3, 1e-6
 #: A feature labels tokens if so many toxic documents have it and such a share of its documents is toxic.
 SEED_DOCS, SEED_SHARE = 5, 0.7
@@ -173,7 +175,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 1)
     at = slots(hashes, of)
     del hashes, parts
     label = tied & (toxic[owner] > 0)
-    # Segments that hold tied tokens, of either kind of document, and three times as many others.
+    # Segments that hold tied tokens, of either kind of document, and a bounded sample of the others.
     length = np.diff(of)
     cuts = -(-length // SEGMENT)
     starts = np.repeat(of[:-1], cuts) + SEGMENT * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
@@ -182,7 +184,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 1)
     hit = sums[stops] > sums[starts]
     rng = np.random.default_rng(seed)
     rest = np.flatnonzero(~hit)
-    chosen = np.concatenate([np.flatnonzero(hit), rng.choice(rest, min(len(rest), 3 * max(int(hit.sum()), 500)), replace=False)])
+    chosen = np.concatenate([np.flatnonzero(hit), rng.choice(rest, min(len(rest), SAMPLE_PLAIN * max(int(hit.sum()), PLAIN_LEAST)), replace=False)])
     model = Field()
     squares, t_squares, b_square = np.full(1 << BITS, 1e-6), np.full((2, 2), 1e-6), 1e-6
     for _ in range(EPOCHS):
