@@ -143,6 +143,28 @@ def test_a_large_group_of_mutually_unlike_copies(spark):
     assert got == brute(rows, 2, 80)
 
 
+def test_few_unlike_copies_post_no_shingles(spark, monkeypatch):
+    rng, vocab = random.Random(11), vocabulary(500, 11)
+    template = [rng.choice(vocab) for _ in range(80)]
+    rows = []
+    for k in range(40):
+        w = list(template)
+        for _ in range(rng.choice((0, 1, 2)) if k < 30 else 10):
+            w[rng.randrange(80)] = f"own{rng.randrange(40)}"
+        rows.append((k, " ".join(w)))
+    made, plain = {}, near_dedup.table
+
+    def spy(df, name, codec=None):
+        made.setdefault(name, []).append(plain(df, name, codec))
+        return made[name][-1]
+
+    monkeypatch.setattr(near_dedup, "table", spy)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == brute(rows, 2, 80)
+    assert made["near-residue"][0].where("component <> top").count() > 0
+    assert made["near-own"][0].count() == 0
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(3, "one two three"), (3, "one two three"), (None, "one two three"), (None, None), (2, "One TWO three"), (7, "word " * 40_000)]
     got = sorted(map(tuple, near_dedup.near_duplicates(docs_of(spark, rows)).collect()), key=str)
