@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pathlib
 import random
 import re
 
@@ -143,7 +144,7 @@ def test_a_large_group_of_mutually_unlike_copies(spark):
     assert got == brute(rows, 2, 80)
 
 
-def test_few_unlike_copies_post_no_shingles(spark, monkeypatch):
+def test_few_unlike_copies_post_no_shingles_and_signatures_go(spark, monkeypatch):
     rng, vocab = random.Random(11), vocabulary(500, 11)
     template = [rng.choice(vocab) for _ in range(80)]
     rows = []
@@ -163,6 +164,9 @@ def test_few_unlike_copies_post_no_shingles(spark, monkeypatch):
     assert got == brute(rows, 2, 80)
     assert made["near-residue"][0].where("component <> top").count() > 0
     assert made["near-own"][0].count() == 0
+    (signed,) = made["near-signatures"]
+    assert dict(signed.dtypes)["sig"] == "array<int>"
+    assert not pathlib.Path(signed._velograde_path.removeprefix("file://")).exists()
 
 
 def test_near_duplicates_of_odd_rows(spark):
