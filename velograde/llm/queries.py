@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velograde.llm import decontamination, exact_dedup, mixing, near_dedup, passages, quality, secrets, token_files, toxicity, warc
+from velograde.llm import decontamination, exact_dedup, mixing, near_dedup, passages, pieces, quality, secrets, token_files, toxicity, warc
 
 
 def _tokenizer() -> str:
@@ -14,6 +14,12 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,7 +67,12 @@ def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated(_read(spark, sf_dir, "documents"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(_read(spark, sf_dir, "documents"), _piece_model())
+
+
 QUERIES = {
+    "op11_pieces": op11_pieces,
     "op8_passages": op8_passages,
     "op4_warc": op4_warc,
     "op2_secrets": op2_secrets,

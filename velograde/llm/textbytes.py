@@ -2,9 +2,11 @@
 
 Documents of an Arrow batch are cut into chunks of about a megabyte; in a chunk
 all words are found and hashed with NumPy, without a Python object per word.
-A word's hash is a polynomial of random byte codes modulo 2**64, taken from
-prefix sums, and then mixed; so any slice of the text (word, prefix) is hashed
-in constant time.
+A slice's hash joins two polynomials of its bytes, each modulo a prime near 2**31
+at a random point, and is then mixed; prefix sums give any slice of the text (word, prefix)
+in constant time. Two different slices of n bytes agree for at most (n / 2**31)**2 of all
+pairs of points, whatever their pattern. Where equal hashes decide about
+results, :func:`classes` compares the bytes too.
 """
 
 from __future__ import annotations
@@ -13,17 +15,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 U = np.uint64
 CHUNK_BYTES = 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-#: A random odd code for each byte and a random odd base (its low bits 101 keep powers apart).
-_CODES = _rng.integers(0, 2**64, 256, dtype=U) | U(1)
-_BASE = int(_rng.integers(0, 2**61, dtype=U)) * 8 + 5
-_BASE_INV = pow(_BASE, -1, 2**64)
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+#: Two primes below 2**31 and a random point for each.
+_PRIMES = (2**31 - 1, 2**31 - 19)
+_POINTS = tuple(int(x) for x in _rng.integers(2**29, 2**31 - 20, 2))
+#: Bytes whose weighted sum stays below 2**62 without a modulus: 2**22 * 2**8 * 2**31 is 2**61.
+_BLOCK = 1 << 22
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = np.zeros(256, bool)
@@ -36,15 +40,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**k and base**-k modulo 2**64 for k below n."""
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 65_536)
-        for slot, base in ((0, _BASE), (1, _BASE_INV)):
-            step = np.full(size, U(base), U)
-            step[0] = U(1)
-            _powers[slot] = np.cumprod(step, dtype=U)
-    return _powers[0], _powers[1]
+def _powers_of(point: int, prime: int, n: int) -> np.ndarray:
+    """point**k modulo the prime for k below n, by doubling."""
+    out = np.ones(1, np.int64)
+    while len(out) < n:
+        out = np.concatenate([out, out * pow(point, len(out), prime) % prime])
+    return out[:n]
+
+
+def _power_tables(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """point**k and point**-k modulo the lane's prime for k below n."""
+    if lane not in _powers or len(_powers[lane][0]) < n:
+        size, prime, point = max(n, CHUNK_BYTES + 65_536), _PRIMES[lane], _POINTS[lane]
+        _powers[lane] = _powers_of(point, prime, size), _powers_of(pow(point, -1, prime), prime, size)
+    return _powers[lane]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -102,13 +111,52 @@ class Hasher:
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        power, self.inverse = _power_tables(n + 1)
-        self.sums = np.zeros(n + 1, U)
-        np.cumsum(_CODES[data] * power[:n], out=self.sums[1:], dtype=U)
+        self.lanes = []
+        for lane, prime in enumerate(_PRIMES):
+            power, inverse = _power_tables(lane, n + 1)
+            sums = np.zeros(n + 1, np.int64)
+            for at in range(0, n, _BLOCK):
+                to = min(at + _BLOCK, n)
+                weighted = power[at:to] * data[at:to]
+                weighted += power[at:to]  # a byte counts as its value and one, so that zero bytes count
+                np.cumsum(weighted, out=sums[at + 1 : to + 1])
+                sums[at + 1 : to + 1] += sums[at]
+                sums[to] %= prime
+            self.lanes.append((sums, inverse, prime))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
-        return mix(h + (ends - starts).astype(U) * U(0x9E3779B97F4A7C15))
+        one, two = ((sums[ends] - sums[starts]) % prime * inverse[starts] % prime for sums, inverse, prime in self.lanes)
+        return mix(mix((one.astype(U) << U(31)) | two.astype(U)) + (ends - starts).astype(U) * U(0x9E3779B97F4A7C15))
+
+
+def classes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slices by equal bytes: the class of each, and the first slice of each class.
+
+    Hashes bring equal slices together; bytes are compared with those of the class's first, and slices that differ from it get classes of their own.
+    """
+    which, distinct = pd.factorize(hashes)
+    first = np.zeros(len(distinct), np.int64)
+    first[which[::-1]] = np.arange(len(which))[::-1]
+    length = ends - starts
+    like = first[which]
+    odd = length != length[like]
+    again = np.flatnonzero(~odd & (like != np.arange(len(which))))
+    total = np.cumsum(length[again])
+    offset = np.arange(int(total[-1]) if len(again) else 0) - np.repeat(total - length[again], length[again])
+    differs = data[np.repeat(starts[again], length[again]) + offset] != data[np.repeat(starts[like[again]], length[again]) + offset]
+    if differs.any():
+        odd[again[np.unique(np.searchsorted(total, np.flatnonzero(differs), "right"))]] = True
+    if odd.any():
+        own: dict[bytes, int] = {}
+        found = list(first)
+        for i in np.flatnonzero(odd).tolist():
+            key = data[starts[i] : ends[i]].tobytes()
+            if key not in own:
+                own[key] = len(found)
+                found.append(i)
+            which[i] = own[key]
+        first = np.array(found, np.int64)
+    return which, first
 
 
 def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:

@@ -18,7 +18,7 @@ Encoding: byte-level BPE encodes the pieces of its pre-tokenizer independently,
 piece spans a single blank between two non-blank characters (the blank begins the
 next piece). Texts are therefore cut at such blanks, each distinct segment is
 encoded once with the tokenizers library and kept in a bounded cache of the
-worker, and documents are put together from the cached ids. White space of other kinds is
+worker (by its bytes, not by a hash), and documents are put together from the cached ids. White space of other kinds is
 not cut at.
 
 Records stand in the order asked for: ascending ids, or the order in which a table's own files hold its rows.
@@ -34,23 +34,20 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from velograde.llm.segments import CACHE_BYTES, SegmentCache, flat
 from velograde.llm.textbytes import Chunk, chunks
 from velograde.llm.workdir import new_path, open_dir, table
 from velograde.shipping import ship
 
 END_ID = 2
-#: Bytes of cached segments that a worker keeps; beyond, it starts anew.
-CACHE_BYTES = 24_000_000
 HEAD = struct.Struct("<QI")
 PAYLOAD = struct.Struct("<qBBI")
 ENTRY = struct.Struct("<QQI")
@@ -72,61 +69,17 @@ class SegmentEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.limit = limit
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65_536 else 4
-        self.reset()
-
-    def reset(self) -> None:
-        # Hashes of the segments in ascending order, and where the ids of each lie.
-        self.known = np.zeros(0, np.uint64)
-        self.slot = np.zeros(0, np.int64)
-        self.ends = np.zeros(1, np.int64)
-        self.ids = np.zeros(8192, np.uint32)
-
-    def _keep(self, encoded: list[list[int]]) -> None:
-        counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        ends = self.ends[-1] + np.cumsum(counts)
-        used, total = int(self.ends[-1]), int(ends[-1])
-        while len(self.ids) < total:
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) // 2, np.uint32)])
-        self.ids[used:total] = np.fromiter(chain.from_iterable(encoded), np.uint32, total - used)
-        self.ends = np.concatenate([self.ends, ends])
-
-    def _slots(self, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, raw: bytes) -> np.ndarray:
-        """For distinct hashes of segments, the slots of their ids; new segments are encoded."""
-        if self.known.nbytes + self.slot.nbytes + self.ends.nbytes + 4 * int(self.ends[-1]) > self.limit:
-            self.reset()
-        at = np.searchsorted(self.known, hashes)
-        held = np.zeros(len(hashes), bool)
-        inside = at < len(self.known)
-        held[inside] = self.known[at[inside]] == hashes[inside]
-        slots = np.zeros(len(hashes), np.int64)
-        slots[held] = self.slot[at[held]]
-        new = np.flatnonzero(~held)
-        slots[new] = len(self.ends) - 1 + np.arange(len(new))
-        for part in np.array_split(new, len(new) // 20_000 + 1) if len(new) else ():
-            texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(begin[part].tolist(), end[part].tolist(), strict=True)]
-            self._keep([x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-        order = np.argsort(hashes[new])
-        self.known = np.insert(self.known, at[new][order], hashes[new][order])
-        self.slot = np.insert(self.slot, at[new][order], slots[new][order])
-        return slots
+        self.cache = SegmentCache(self._ids, limit)
+
+    def _ids(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [x.decode("utf-8", "replace") for x in segments]
+        return flat([x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
     def encode(self, chunk: Chunk, end_id: int) -> Iterator[np.ndarray]:
         """The ids of each document of a chunk, the end id last."""
-        begin = segment_starts(chunk)
-        end = np.append(begin[1:], len(chunk.data))
-        which, distinct = pd.factorize(chunk.hasher()(begin, end))
-        first = np.zeros(len(distinct), np.int64)
-        first[which[::-1]] = np.arange(len(which))[::-1]
-        slots = self._slots(distinct, begin[first], end[first], chunk.data.tobytes())[which]
-        starts = self.ends[slots]
-        counts = self.ends[slots + 1] - starts
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.ids[np.repeat(starts - ends[:-1], counts) + np.arange(int(ends[-1]))]
-        of = ends[np.searchsorted(begin, chunk.bounds)]
-        for d in range(chunk.docs):
-            yield np.append(ids[of[d] : of[d + 1]], np.uint32(end_id))
+        for ids in self.cache.encode(chunk, segment_starts(chunk)):
+            yield np.append(ids, np.uint32(end_id))
 
 
 def segment_starts(chunk: Chunk) -> np.ndarray:
