@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velograde.llm import decontamination, exact_dedup, mixing, near_dedup, passages, pieces, quality, secrets, token_files, toxicity, warc
+from velograde.llm import collocations, decontamination, exact_dedup, mixing, near_dedup, passages, pieces, quality, secrets, token_files, toxicity, warc
 
 
 def _tokenizer() -> str:
@@ -71,7 +71,12 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(_read(spark, sf_dir, "documents"), _piece_model())
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op13_collocations": op13_collocations,
     "op11_pieces": op11_pieces,
     "op8_passages": op8_passages,
     "op4_warc": op4_warc,
@@ -86,6 +91,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op13_collocations": collocations.ORACLE,
     "op4_warc": """
 WITH k AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS refers_to FROM k WHERE payload_bytes >= 100 GROUP BY payload_digest)
