@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velograde.llm import collocations, decontamination, exact_dedup, mixing, near_dedup, passages, pieces, quality, secrets, token_files, toxicity, warc
+from velograde.llm import collocations, conversations, decontamination, exact_dedup, mixing, near_dedup, passages, pieces, quality, secrets, token_files, toxicity, warc
 
 
 def _tokenizer() -> str:
@@ -75,7 +75,12 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.phrases(_read(spark, sf_dir, "documents"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op12_conversations": op12_conversations,
     "op13_collocations": op13_collocations,
     "op11_pieces": op11_pieces,
     "op8_passages": op8_passages,
