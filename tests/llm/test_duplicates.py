@@ -7,6 +7,7 @@ import pathlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from velograde.llm import components, exact_dedup, near_dedup, passages
@@ -321,3 +322,25 @@ def test_passages_are_found_whatever_fragments_hold_their_values(spark):
 
 def test_no_passages_in_nothing(spark):
     assert passages.repeated(docs_of(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("doublings", [10, 12])
+def test_words_with_equal_polynomials_modulo_a_power_of_two(spark, doublings):
+    """The Thue-Morse word and its complement are different words."""
+    a = "a"
+    for _ in range(doublings):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"pre {a} post"), (4, f"pre {b} post"), (5, f"pre {b} post")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
+
+
+def test_slices_with_one_hash_are_told_apart_by_their_bytes():
+    from velograde.llm.textbytes import classes
+
+    data = np.frombuffer(b"abcabdabcabdxab", np.uint8)
+    starts, ends = np.array([0, 3, 6, 9, 13]), np.array([3, 6, 9, 12, 15])
+    which, first = classes(data, starts, ends, np.zeros(5, np.uint64))
+    assert [data[starts[first[w]] : ends[first[w]]].tobytes() for w in which] == [b"abc", b"abd", b"abc", b"abd", b"ab"]
+    assert len(set(which.tolist())) == 3

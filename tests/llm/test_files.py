@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
 from velograde.llm import token_files, warc
 from velograde.llm.textbytes import chunks
 from velograde.llm.workdir import new_path
@@ -123,3 +125,19 @@ def test_cut_streams_are_errors():
 
 def test_work_folder_is_the_sessions(spark):
     assert "velograde" in new_path(spark, "x")
+
+
+@pytest.mark.parametrize("doublings", [10, 12])
+def test_segments_with_equal_polynomials_get_their_own_ids(doublings):
+    from tokenizers import Tokenizer
+
+    a = "a"
+    for _ in range(doublings):
+        a += a.translate(str.maketrans("ab", "ba"))
+    texts = [f"x {a} y", f"x {a.translate(str.maketrans('ab', 'ba'))} y"]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = token_files.SegmentEncoder(path)
+    # In one chunk, and in two through the cache.
+    for limit in (1 << 20, 10):
+        found = [ids.tolist() for chunk in chunks(pa.array(texts), limit) for ids in encoder.encode(chunk, 2)]
+        assert found == [[*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 2] for t in texts]
