@@ -4,15 +4,15 @@
    and becomes one row of numbers, zero between pieces, and one row per distinct word with its count.
 2. Words that occur ``least`` times in their language form the dictionary; its ids are dense and stand for (language, word). A phrase
    with ``least`` occurrences has only such words, so pieces break at all others.
-3. Each block meets its own words' ids (a join on words, which a block holds once each, then one on the block) and counts its
-   pairs of ids by runs of sorted numbers. The pairs' fixed-width binary keys go through a range partition and Spark's radix sort on their
+3. Each block meets its own words' ids (a join on words, which a block holds once each, then one on the block) and is kept as ids.
+   It counts its pairs by runs of sorted numbers. The pairs' fixed-width binary keys go through a range partition and Spark's radix sort on their
    prefixes (eight bytes, the whole key of a pair); equal keys then stand in a run, and runs are summed up as they pass by.
-4. Triples are keyed the same way, from places where both pairs are frequent.
+4. Triples are keyed the same way, from places where both pairs are frequent. Up to ``BROADCAST_PAIRS`` frequent pairs (8 bytes each) are
+   sent to the tasks; more of them are joined to the blocks that hold them.
 5. A phrase's cuts look their parts up by key. Products are decimals of 38 digits: exact for counts below 10**15.
 
 No step holds more than a block, and no word or phrase is more than one row of a block: a hot word or
-phrase has as many rows as there are blocks. Lookups salt the at most 200 words and pairs that make up a hundredth of all words. Nothing
-is broadcast by hint.
+phrase has as many rows as there are blocks. Lookups salt the at most 200 words and pairs that make up a hundredth of all words.
 
 Defined cases: null texts are empty; a null language is ``und``; repeated rows count each time; of equal scores and counts the
 phrase in byte order decides; languages without candidates and empty tables have no rows; other columns are not read, whatever their names.
@@ -30,12 +30,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from velograde.llm.textbytes import LOWER, Chunk, chunks, classes
-from velograde.llm.workdir import drop, table
+from velograde.llm.workdir import drop, release, rows_below, table
 from velograde.shipping import ship
 
 LEAST, COVERED_PERCENT, TOP = 10, 50, 2000
 BLOCK_BYTES = 4_000_000
 SALTS = 32
+BROADCAST_PAIRS = 2_000_000
 
 #: Bytes between pieces, and between words.
 CUT = np.zeros(256, bool)
@@ -99,54 +100,82 @@ def keys(ids: list[np.ndarray], width: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * size, size, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-PAIRS = "block long, pair long, key binary, n long"
+ENCODED = "block long, ids binary"
 
 
-def pairs_of(width: int, numbers: pa.Table, words: pa.Table) -> pa.Table:
-    """The pairs of a block: its own two numbers, the key of their ids, how often."""
+def encoded(width: int, numbers: pa.Table, words: pa.Table) -> pa.Table:
+    """A block as ids: zero stands for words without one and between pieces."""
     out = []
-    for block, at, ids, _ in _blocks(numbers, words):
-        pair = (at[:-1] << 32) | at[1:]
-        pair = np.sort(pair[(at[:-1] > 0) & (at[1:] > 0)])
-        begin, n = runs(pair)
-        pair = pair[begin]
-        out.append(pa.table({"block": np.full(len(pair), block), "pair": pair, "key": keys([ids[pair >> 32], ids[pair & 0xFFFFFFFF]], width), "n": n}))
-    return pa.concat_tables(out) if out else _empty(PAIRS)
+    for data in numbers["numbers"].to_pylist():
+        at = np.frombuffer(data, np.int32)
+        ids = np.zeros(int(at.max(initial=0)) + 1, f"u{width}")
+        ids[words["number"].to_numpy()] = words["id"].to_numpy()
+        out.append(ids[at].tobytes())
+    return pa.table({"block": numbers["block"], "ids": pa.array(out, pa.binary())})
 
 
+def local(width: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's ids: the distinct ones in order, the pairs (two places in them) of all neighbours, and which of these are of two words."""
+    ids, at = np.unique(np.frombuffer(data, f"u{width}"), return_inverse=True)
+    some = ids[at] > 0
+    at = at.astype(np.int64)
+    return ids.astype(np.int64), (at[:-1] << 32) | at[1:], some[:-1] & some[1:]
+
+
+def _ends(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return pair >> 32, pair & 0xFFFFFFFF
+
+
+PAIRS = "block long, key binary, n long"
 TRIPLES = "key binary, n long"
 
 
-def triples_of(width: int, numbers: pa.Table, words: pa.Table) -> pa.Table:
-    """The triples of a block whose two pairs are both frequent: the key of their ids, how often."""
+def pairs_of(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of each block by the key of their ids, and how often they stand there."""
+    for batch in batches:
+        for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, pair, good = local(width, data)
+            pair = np.sort(pair[good])
+            begin, n = runs(pair)
+            x, y = _ends(pair[begin])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), keys([ids[x], ids[y]], width), pa.array(n)], names=["block", "key", "n"])
+
+
+def _triples(width: int, ids: np.ndarray, pair: np.ndarray, good: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Keys and numbers of the triples where two ``good`` pairs meet."""
+    here = np.flatnonzero(good[:-1] & good[1:])
+    distinct, place = np.unique(pair[good], return_inverse=True)
+    at = np.zeros(len(pair), np.int64)
+    at[good] = place
+    triple = np.sort((at[here] << 32) | at[here + 1])
+    begin, n = runs(triple)
+    one, two = _ends(triple[begin])
+    (x, y), (_, z) = _ends(distinct[one]), _ends(distinct[two])
+    return keys([ids[x], ids[y], ids[z]], width), pa.array(n, pa.int64())
+
+
+def triples_of(frequent: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The triples of each block whose two pairs are among ``frequent`` (sorted, four bytes an id)."""
+    for batch in batches:
+        for data in batch.column(1).to_pylist():
+            ids, pair, good = local(4, data)
+            distinct, place = np.unique(pair, return_inverse=True)
+            x, y = _ends(distinct)
+            packed = (ids[x].astype(np.uint64) << np.uint64(32)) | ids[y].astype(np.uint64)
+            at = np.minimum(np.searchsorted(frequent, packed), max(0, len(frequent) - 1))
+            known = frequent[at] == packed if len(frequent) else np.zeros(len(packed), bool)
+            yield pa.RecordBatch.from_arrays([*_triples(4, ids, pair, good & known[place])], names=["key", "n"])
+
+
+def joined_triples(width: int, blocks: pa.Table, frequent: pa.Table) -> pa.Table:
+    """The same for a block with the keys of its own frequent pairs."""
     out = []
-    for _, at, ids, frequent in _blocks(numbers, words):
-        pair = (at[:-1] << 32) | at[1:]
-        place = np.minimum(np.searchsorted(frequent, pair), max(0, len(frequent) - 1))
-        good = frequent[place] == pair if len(frequent) else np.zeros(len(pair), bool)
-        here = np.flatnonzero(good[:-1] & good[1:])
-        # A triple as the places of its two pairs among the block's frequent ones.
-        triple = np.sort((place[here] << 32) | place[here + 1])
-        begin, n = runs(triple)
-        one, two = frequent[triple[begin] >> 32] if len(begin) else triple, frequent[triple[begin] & 0xFFFFFFFF] if len(begin) else triple
-        out.append(pa.table({"key": keys([ids[one >> 32], ids[one & 0xFFFFFFFF], ids[two & 0xFFFFFFFF]], width), "n": n}))
-    return pa.concat_tables(out) if out else _empty(TRIPLES)
-
-
-def _empty(schema: str) -> pa.Table:
-    kinds = {"long": pa.int64(), "binary": pa.binary()}
-    return pa.table({n: pa.array([], kinds[t]) for n, t in (c.strip().split(" ") for c in schema.split(","))})
-
-
-def _blocks(numbers: pa.Table, words: pa.Table):
-    """A group's block: its id, the frequent words' numbers in a row with zeros at breaks, the ids by number, the frequent pairs."""
-    for block, data in zip(numbers["block"].to_pylist(), numbers["numbers"].to_pylist(), strict=True):
-        at = np.frombuffer(data, np.int32).astype(np.int64)
-        number, id_ = words["number"].to_numpy(), words["id"].to_numpy()
-        own = id_ > 0
-        ids = np.zeros(int(at.max(initial=0)) + 1, np.int64)
-        ids[number[own]] = id_[own]
-        yield block, np.where(ids[at] > 0, at, 0), ids, np.sort(number[~own])
+    for data in blocks["ids"].to_pylist():
+        ids, pair, good = local(width, data)
+        of = np.frombuffer(b"".join(frequent["key"].to_pylist()), f">u{width}").astype(np.int64).reshape(-1, 2)
+        at = np.searchsorted(ids, of)
+        out.append(pa.table(dict(zip(("key", "n"), _triples(width, ids, pair, good & np.isin(pair, (at[:, 0] << 32) | at[:, 1])), strict=True))))
+    return pa.concat_tables(out) if out else pa.table({"key": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
 
 
 def summed(width: int, least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +234,7 @@ def _identified(words: DataFrame, least: int) -> tuple[DataFrame, int]:
     return out, 4 if most < 2**32 else 8
 
 
-def phrases(docs: DataFrame, least: int = LEAST, covered_percent: int = COVERED_PERCENT, top: int = TOP, block_bytes: int = BLOCK_BYTES, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def phrases(docs: DataFrame, least: int = LEAST, covered_percent: int = COVERED_PERCENT, top: int = TOP, block_bytes: int = BLOCK_BYTES, broadcast_pairs: int = BROADCAST_PAIRS, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best phrases of two and three words of each language.
 
     Phrases inside a longer one that has ``covered_percent`` of their occurrences are left out.
@@ -216,23 +245,32 @@ def phrases(docs: DataFrame, least: int = LEAST, covered_percent: int = COVERED_
     words = scanned.where("number is not null").select("block", "number", "lang", "word", "n")
     blocks = scanned.where("numbers is not null").select("block", "numbers")
     dictionary, width = _identified(words, least)
-    own = table(words.join(dictionary, ["lang", "word"]).select("block", F.col("number").cast("long").alias("number"), "id"), "collocation-own")
-
-    def of_blocks(function, side: DataFrame, schema: str) -> DataFrame:
-        return blocks.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(lambda numbers, rows: function(width, numbers, rows), schema)
-
-    pairs = table(of_blocks(pairs_of, own, PAIRS), "collocation-pairs", "zstd")
+    sums = table(words.groupBy("lang").agg(F.sum("n").alias("n")), "collocation-languages")
+    release(spark)
+    own = table(words.join(dictionary, ["lang", "word"]).select("block", F.col("number").cast("long").alias("number"), "id"), "collocation-own", "zstd")
+    release(spark)
+    texts = blocks.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(lambda numbers, rows: encoded(width, numbers, rows), ENCODED)
+    texts = table(texts, "collocation-texts", "zstd")
+    drop(own)
+    drop(scanned)
+    release(spark)
+    pairs = texts.mapInArrow(lambda batches: pairs_of(width, batches), PAIRS)
     twos = table(counted(pairs, 2 * width, least), "collocation-twos")
-    frequent = pairs.join(twos, "key", "left_semi").select("block", F.col("pair").alias("number"), F.lit(0).cast("long").alias("id"))
-    triples = table(of_blocks(triples_of, own.union(frequent), TRIPLES), "collocation-triples", "zstd")
+    release(spark)
+    if width == 4 and rows_below(twos, broadcast_pairs):
+        packed = twos.select(F.conv(F.hex("key"), 16, -10).cast("long").alias("pair")).toArrow()["pair"].to_numpy()
+        sent = spark.sparkContext.broadcast(np.sort(packed.view(np.uint64)))
+        triples = texts.mapInArrow(lambda batches: triples_of(sent.value, batches), TRIPLES)
+    else:
+        frequent = pairs.join(twos, "key", "left_semi").select("block", "key")
+        triples = texts.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(lambda of, rows: joined_triples(width, of, rows), TRIPLES)
     threes = table(counted(triples, 3 * width, least), "collocation-threes")
-    for t in (own, pairs, triples):
-        drop(t)
+    drop(texts)
+    release(spark)
 
     binary = lambda c: F.unhex(F.lpad(F.hex(c), 2 * width, "0"))
     of = lambda first, n: F.substring("key", 1 + first * width, n * width)
     singles = dictionary.select(binary(F.col("id")).alias("key"), "f", "lang", "word")
-    sums = table(words.groupBy("lang").agg(F.sum("n").alias("n")), "collocation-languages")
     total = sums.agg(F.sum("n")).head()[0] or 0
     parts = singles.select("key", "f", "lang").union(twos.select("key", "f", F.lit(None).cast("string")))
     # At most a hundred words and a hundred pairs make up a hundredth of all words each.
