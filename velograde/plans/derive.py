@@ -84,3 +84,17 @@ def refused(spark: SparkSession) -> DataFrame:
         Scenario("held", time_step_s=0.0), Scenario("back", time_step_s=-1.0), Scenario("dwell", stop_dwell_s=-1.0), Scenario("rough", rolling_resistance_coefficient=0.1),
     ]
     return scenarios(spark, *rows)
+
+
+def road_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two samples per edge from lines of orders: between places 100 m apart, in ridges that differ in height, with ends a few centimetres off.
+
+    The part gives the place along, the supplier the place across; the quantity and the line's number where the edge leads.
+    """
+    w = W.partitionBy("l_orderkey").orderBy(*ORDER)
+    line = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 16 + F.row_number().over(w)).alias("edge_id"), F.col("l_partkey").alias("px"), (F.col("l_suppkey") % 16).alias("py"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("long").alias("q"))
+    ends = F.array(F.struct(F.lit(0).alias("sample_idx"), F.col("px").alias("i"), F.col("py").alias("j")), F.struct(F.lit(1).alias("sample_idx"), (F.col("px") + 1 + F.col("q") % 2).alias("i"), (F.col("py") + F.col("n") % 3 - 1).alias("j")))
+    each = line.select("edge_id", "n", F.inline(ends))
+    phase, ridge = F.col("i") % 12, F.floor(F.col("i") / 12) % 4 + 1
+    height = 800.0 + ridge * F.when(phase <= 8, 48.0 - 6.0 * phase).otherwise(12.0 * (phase - 8)) + F.pmod(F.col("i") * 7 + F.col("j") * 13, F.lit(5)) * 0.5
+    return each.select("edge_id", "sample_idx", (F.col("i") * 100.0 + F.col("n") * 0.01).alias("x_m"), (F.col("j") * 100.0 - F.col("n") * 0.01).alias("y_m"), height.alias("elevation_m"))
