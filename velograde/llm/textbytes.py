@@ -129,6 +129,21 @@ class Hasher:
         return mix(mix((one.astype(U) << U(31)) | two.astype(U)) + (ends - starts).astype(U) * U(0x9E3779B97F4A7C15))
 
 
+def same_rows(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """For slices of two byte arrays, one by one, whether they are equal."""
+    length = a_ends - a_starts
+    equal = length == b_ends - b_starts
+    asked = np.flatnonzero(equal & (length > 0))
+    length = length[asked]
+    total = np.cumsum(length)
+    if len(asked):
+        offset = np.arange(int(total[-1]), dtype=np.int32)
+        of = lambda starts: offset + np.repeat((starts[asked] - (total - length)).astype(np.int32), length)
+        differs = np.flatnonzero(a[of(a_starts)] != b[of(b_starts)])
+        equal[asked[np.unique(np.searchsorted(total, differs, "right"))]] = False
+    return equal
+
+
 def classes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slices by equal bytes: the class of each, and the first slice of each class.
 
@@ -137,19 +152,13 @@ def classes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.n
     which, distinct = pd.factorize(hashes)
     first = np.zeros(len(distinct), np.int64)
     first[which[::-1]] = np.arange(len(which))[::-1]
-    length = ends - starts
     like = first[which]
-    odd = length != length[like]
-    again = np.flatnonzero(~odd & (like != np.arange(len(which))))
-    total = np.cumsum(length[again])
-    offset = np.arange(int(total[-1]) if len(again) else 0) - np.repeat(total - length[again], length[again])
-    differs = data[np.repeat(starts[again], length[again]) + offset] != data[np.repeat(starts[like[again]], length[again]) + offset]
-    if differs.any():
-        odd[again[np.unique(np.searchsorted(total, np.flatnonzero(differs), "right"))]] = True
-    if odd.any():
+    again = np.flatnonzero(like != np.arange(len(which)))
+    odd = again[~same_rows(data, starts[again], ends[again], data, starts[like[again]], ends[like[again]])]
+    if len(odd):
         own: dict[bytes, int] = {}
         found = list(first)
-        for i in np.flatnonzero(odd).tolist():
+        for i in odd.tolist():
             key = data[starts[i] : ends[i]].tobytes()
             if key not in own:
                 own[key] = len(found)
