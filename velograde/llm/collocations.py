@@ -126,19 +126,19 @@ def _ends(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pair >> 32, pair & 0xFFFFFFFF
 
 
-PAIRS = "block long, key binary, n long"
-TRIPLES = "key binary, n long"
+COUNTED = "key binary, n long"
 
 
-def pairs_of(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of each block by the key of their ids, and how often they stand there."""
+def pairs_of(width: int, with_block: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of each block by the key of their ids, and how often they stand there; with the block if asked for."""
     for batch in batches:
         for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids, pair, good = local(width, data)
             pair = np.sort(pair[good])
             begin, n = runs(pair)
             x, y = _ends(pair[begin])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), keys([ids[x], ids[y]], width), pa.array(n)], names=["block", "key", "n"])
+            own = {"block": pa.array(np.full(len(n), block))} if with_block else {}
+            yield pa.RecordBatch.from_pydict({**own, "key": keys([ids[x], ids[y]], width), "n": pa.array(n)})
 
 
 def _triples(width: int, ids: np.ndarray, pair: np.ndarray, good: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -254,16 +254,17 @@ def phrases(docs: DataFrame, least: int = LEAST, covered_percent: int = COVERED_
     drop(own)
     drop(scanned)
     release(spark)
-    pairs = texts.mapInArrow(lambda batches: pairs_of(width, batches), PAIRS)
+    pairs = texts.mapInArrow(lambda batches: pairs_of(width, False, batches), COUNTED)
     twos = table(counted(pairs, 2 * width, least), "collocation-twos")
     release(spark)
     if width == 4 and rows_below(twos, broadcast_pairs):
         packed = twos.select(F.conv(F.hex("key"), 16, -10).cast("long").alias("pair")).toArrow()["pair"].to_numpy()
         sent = spark.sparkContext.broadcast(np.sort(packed.view(np.uint64)))
-        triples = texts.mapInArrow(lambda batches: triples_of(sent.value, batches), TRIPLES)
+        triples = texts.mapInArrow(lambda batches: triples_of(sent.value, batches), COUNTED)
     else:
-        frequent = pairs.join(twos, "key", "left_semi").select("block", "key")
-        triples = texts.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(lambda of, rows: joined_triples(width, of, rows), TRIPLES)
+        held = texts.mapInArrow(lambda batches: pairs_of(width, True, batches), f"block long, {COUNTED}")
+        frequent = held.join(twos, "key", "left_semi").select("block", "key")
+        triples = texts.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(lambda of, rows: joined_triples(width, of, rows), COUNTED)
     threes = table(counted(triples, 3 * width, least), "collocation-threes")
     drop(texts)
     release(spark)
