@@ -43,3 +43,13 @@ def structure_review(edges: DataFrame) -> DataFrame:
 def not_available(spark, reasons: dict[str, str]) -> DataFrame:
     """A table that says why something was not made."""
     return spark.createDataFrame(sorted(reasons.items()), "item string, status string")
+
+
+def rollup(edges: DataFrame, classes: tuple[str, ...], length: str) -> DataFrame:
+    """Numbers, lengths and uncertain edges (structure_status not normal) for each combination of classes and all their totals.
+
+    One expanded plan: each row is aggregated before the shuffle, once per grouping set. ``level`` has a bit per class, set where the row is a
+    total over it; so a null class and a total differ.
+    """
+    off = F.count_if(F.coalesce("structure_status", F.lit("unknown")) != "normal")
+    return edges.cube(*classes).agg(F.grouping_id().cast("long").alias("level"), F.count(F.lit(1)).alias("edges"), F.sum(length).alias("length"), off.alias("uncertain"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velograde.functions import classify, physics
+from velograde.functions import classify, exact, physics
 from velograde.functions.geometry import lambert93
 from velograde.operators import edges, profiles, quality, reports, simulate
-from velograde.plans import derive, oracle
+from velograde.plans import derive, oracle, route_queries
 from velograde.sources import readers
 
 read = derive.read
@@ -302,6 +302,28 @@ def scenario_groups(spark, sf_dir):
     return grouped.select("scenario", "first", F.array_join(F.transform("runs", lambda r: F.format_string("%d:%.0f", r["pos"], r["wind"])), ";").alias("runs"))
 
 
+def smoothed_profiles(spark, sf_dir):
+    """Elevations and their means over 61.7 m either way along the edge."""
+    rows = profiles.smoothed(derive.samples(spark, sf_dir), 61.7, "mean 61.7 m")
+    return rows.select("edge_id", "sample_idx", "scenario", *[F.round(c, 6).alias(c) for c in ("chainage_m", "elevation_m", "smoothed_m")])
+
+
+def exact_totals(spark, sf_dir):
+    """Sums per day and flag of numbers of very different size, most of which cancel."""
+    line = read(spark, sf_dir, "lineitem")
+    large = F.pow(F.lit(2.0), (40 + F.col("l_orderkey") % 20).cast("double")) * F.col("l_linenumber")
+    values = F.array(F.round(F.col("l_extendedprice") * 100) / F.lit(1048576.0), large, -large)
+    rows = line.select("l_returnflag", F.col("l_shipdate").cast("date").cast("string").alias("day"), F.explode(values).alias("total"))
+    return exact.exact_sum(rows, ("l_returnflag", "day"), "total")
+
+
+def quality_rollup(spark, sf_dir):
+    """Directed edges and their lengths by road class, structure and access, with all totals."""
+    directed = edges.directed(derive.ways(spark, sf_dir))
+    rows = directed.select(F.try_element_at("tags", F.lit("highway")).alias("highway"), F.col("structure_status").alias("structure"), F.col("access_status").alias("access"), "structure_status", (F.col("way_id") % 97 + 100).alias("dm"))
+    return quality.rollup(rows, ("highway", "structure", "access"), "dm").withColumnRenamed("length", "length_dm")
+
+
 def _wide(query):
     """The query with its integers as 64-bit ones, as DuckDB has them."""
 
@@ -320,6 +342,7 @@ QUERIES = {
         elevation_requests, way_classes, directed_edges, selected_edges, structure_review, edge_quality, uncertain_edges, validation_rejects, accepted_segments, profile_statistics,
         distinct_profiles, bounding_box, stride_sample, manifest_check, unit_conversions, simulate_summary, stop_reason_counts, sensitivity_grid, rotation_effect, simulate_trace,
         scenario_rejects, elevation_profiles, chosen_edges, new_files, live_profiles, sampling_comparison, profile_simulations, graph_quality, structure_decisions, extraction_counts, scenario_groups,
+        smoothed_profiles, exact_totals, quality_rollup,
     )
-}
-ORACLE_SQL: dict[str, str] = oracle.SQL
+} | {name: _wide(f) for name, f in route_queries.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = oracle.SQL | route_queries.SQL

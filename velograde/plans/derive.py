@@ -38,7 +38,8 @@ def samples(spark: SparkSession, sf_dir: str, flawed: bool = False) -> DataFrame
         return rows.select("edge_id", "sample_idx", "x_m", "y_m", z.alias("elevation_m"), F.lit("EPSG:2154").alias("crs"), "access_status", "structure_status", F.when(F.col("structure_status") == "normal", "terrain model").otherwise("unknown").alias("elevation_dataset"))
     z = F.when((e % 11 == 3) & (i == 1), None).when((e % 13 == 4) & (i == 2), z + 50.0).when((e % 17 == 5) & (i == 1), z + 15.0).otherwise(z)
     x, y = (F.when((e % 19 == 6) & (i > 0), c - c).otherwise(c) for c in (F.col("x_m"), F.col("y_m")))
-    return rows.select("edge_id", "sample_idx", x.alias("x_m"), y.alias("y_m"), z.alias("elevation_m"), F.when(e % 23 == 7, "EPSG:4326").otherwise("EPSG:2154").alias("crs"), "access_status", "structure_status", F.when(e % 2 == 0, "terrain model").otherwise("unknown").alias("elevation_dataset"))
+    x, y = F.when((e % 29 == 8) & (i == 1), None).otherwise(x), F.when((e % 31 == 9) & (i == 1), float("nan")).otherwise(y)
+    return rows.select("edge_id", "sample_idx", x.alias("x_m"), y.alias("y_m"), z.alias("elevation_m"), F.when(e % 23 == 7, "EPSG:4326").when((e % 37 == 10) & (i == 1), None).otherwise("EPSG:2154").alias("crs"), "access_status", "structure_status", F.when(e % 2 == 0, "terrain model").otherwise("unknown").alias("elevation_dataset"))
 
 
 def profile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

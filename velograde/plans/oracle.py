@@ -27,9 +27,10 @@ SAMPLES = f"""{RAW}, samples AS (
   SELECT edge_id, sample_idx, x_m, y_m, CASE WHEN structure_status = 'normal' THEN z END AS elevation_m, access_status, structure_status FROM raw)"""
 
 FLAWED = f"""{RAW}, samples AS (
-  SELECT edge_id, sample_idx, CASE WHEN edge_id % 19 = 6 AND sample_idx > 0 THEN 0.0 ELSE x_m END AS x_m, CASE WHEN edge_id % 19 = 6 AND sample_idx > 0 THEN 0.0 ELSE y_m END AS y_m,
+  SELECT edge_id, sample_idx, CASE WHEN edge_id % 29 = 8 AND sample_idx = 1 THEN NULL WHEN edge_id % 19 = 6 AND sample_idx > 0 THEN 0.0 ELSE x_m END AS x_m,
+         CASE WHEN edge_id % 31 = 9 AND sample_idx = 1 THEN 'nan'::DOUBLE WHEN edge_id % 19 = 6 AND sample_idx > 0 THEN 0.0 ELSE y_m END AS y_m,
          CASE WHEN edge_id % 11 = 3 AND sample_idx = 1 THEN NULL WHEN edge_id % 13 = 4 AND sample_idx = 2 THEN z + 50.0 WHEN edge_id % 17 = 5 AND sample_idx = 1 THEN z + 15.0 ELSE z END AS elevation_m,
-         CASE WHEN edge_id % 23 = 7 THEN 'EPSG:4326' ELSE 'EPSG:2154' END AS crs, structure_status, CASE WHEN edge_id % 2 = 0 THEN 'terrain model' ELSE 'unknown' END AS dataset
+         CASE WHEN edge_id % 23 = 7 THEN 'EPSG:4326' WHEN edge_id % 37 = 10 AND sample_idx = 1 THEN NULL ELSE 'EPSG:2154' END AS crs, structure_status, CASE WHEN edge_id % 2 = 0 THEN 'terrain model' ELSE 'unknown' END AS dataset
   FROM raw)"""
 
 SEGMENTS = """pairs AS (
@@ -40,10 +41,10 @@ segs AS (
   FROM (SELECT *, sqrt(sx * sx + sy * sy) AS horizontal_length_m FROM pairs WHERE nxt IS NOT NULL))"""
 
 REJECTS = """bad AS (
-  SELECT edge_id, segment, CASE WHEN dz_m IS NULL THEN 'missing_elevation' WHEN horizontal_length_m <= 1e-9 THEN 'duplicate_point' WHEN abs(dz_m) > 20 THEN 'elevation_jump' WHEN abs(grade_ratio) > 0.5 THEN 'extreme_grade' END AS error FROM segs),
+  SELECT edge_id, segment, CASE WHEN horizontal_length_m IS NULL OR NOT isfinite(horizontal_length_m) THEN 'missing_coordinates' WHEN dz_m IS NULL THEN 'missing_elevation' WHEN horizontal_length_m <= 1e-9 THEN 'duplicate_point' WHEN abs(dz_m) > 20 THEN 'elevation_jump' WHEN abs(grade_ratio) > 0.5 THEN 'extreme_grade' END AS error FROM segs),
 firsts AS (SELECT edge_id, min(segment) AS segment, arg_min(error, segment) AS error FROM bad WHERE error IS NOT NULL GROUP BY edge_id),
 own AS (
-  SELECT edge_id, CASE WHEN any_value(crs) <> 'EPSG:2154' THEN 'reference_system' WHEN any_value(structure_status) <> 'normal' AND any_value(dataset) LIKE 'terrain%' THEN 'terrain_on_structure' WHEN count(*) < 2 THEN 'too_few_samples' END AS error
+  SELECT edge_id, CASE WHEN bool_or(crs IS DISTINCT FROM 'EPSG:2154') THEN 'reference_system' WHEN bool_or(structure_status <> 'normal' AND dataset LIKE 'terrain%') THEN 'terrain_on_structure' WHEN count(*) < 2 THEN 'too_few_samples' END AS error
   FROM samples GROUP BY edge_id),
 rejects AS (
   SELECT edge_id, coalesce(own.error, firsts.error) AS reject_reason, CASE WHEN own.error IS NULL THEN firsts.segment END AS segment
@@ -251,3 +252,15 @@ SQL["scenario_groups"] = """WITH g AS (
   SELECT m, w, CASE m WHEN 75 THEN 0 WHEN 60 THEN 10 ELSE 20 END + CASE WHEN w > 0 THEN 1 ELSE 0 END + CASE WHEN c > 0.005 THEN 2 ELSE 0 END AS pos
   FROM (VALUES (60), (75), (90)) AS a(m), (VALUES (0.004), (0.006)) AS b(c), (VALUES (-2), (2)) AS d(w))
 SELECT 'm' || m AS scenario, min(pos)::BIGINT AS first, string_agg(pos || ':' || w, ';' ORDER BY pos) AS runs FROM g GROUP BY m"""
+SQL["smoothed_profiles"] = f"""WITH {SAMPLES},
+d AS (SELECT *, coalesce(sqrt((x_m - lag(x_m) OVER w) ** 2 + (y_m - lag(y_m) OVER w) ** 2), 0.0) AS step FROM samples WINDOW w AS (PARTITION BY edge_id ORDER BY sample_idx)),
+c AS (SELECT *, sum(step) OVER (PARTITION BY edge_id ORDER BY sample_idx ROWS UNBOUNDED PRECEDING) AS chainage_m, row_number() OVER (PARTITION BY edge_id ORDER BY sample_idx) AS nth, count(*) OVER (PARTITION BY edge_id) AS n FROM d),
+m AS (SELECT *, avg(elevation_m) OVER (PARTITION BY edge_id ORDER BY chainage_m RANGE BETWEEN 61.7::DOUBLE PRECEDING AND 61.7::DOUBLE FOLLOWING) AS mean FROM c)
+SELECT edge_id, sample_idx, round(chainage_m, 6) AS chainage_m, round(elevation_m, 6) AS elevation_m,
+       round(CASE WHEN elevation_m IS NULL OR nth = 1 OR nth = n THEN elevation_m ELSE mean END, 6) AS smoothed_m, 'mean 61.7 m' AS scenario FROM m"""
+# The large numbers cancel: what is left is the sum of the prices in cents over a power of two.
+SQL["exact_totals"] = """SELECT l_returnflag, l_shipdate::DATE::VARCHAR AS day, sum(round(l_extendedprice * 100)::HUGEINT)::DOUBLE / 1048576.0::DOUBLE AS total FROM lineitem GROUP BY ALL"""
+SQL["quality_rollup"] = f"""WITH {WAYS}, e AS (SELECT *, UNNEST(directions) AS direction, (way_id % 97 + 100)::BIGINT AS decimetres FROM classed WHERE highway IS NOT NULL)
+SELECT highway, structure_status AS structure, access_status AS access, grouping(highway, structure_status, access_status)::BIGINT AS level, count(*) AS edges, sum(decimetres)::BIGINT AS length_dm,
+       count(*) FILTER (structure_status <> 'normal') AS uncertain
+FROM e GROUP BY CUBE (highway, structure_status, access_status)"""
