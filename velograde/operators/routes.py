@@ -175,7 +175,7 @@ def tiles(seeds: DataFrame, scenario: Scenario, lowest: DataFrame, coarse_m: flo
 def best_starts(net: DataFrame, scenario: Scenario, seeds: DataFrame, k: int, coarse_m: float = 4800.0, fine_m: float = 1200.0, quantum_j: float = QUANTUM_J) -> tuple[DataFrame, DataFrame]:
     """The ``k`` seeds (node, x_m, y_m, z_m) from which one coasts farthest, (node, d); and (tiles, tiles_read, seeds, seeds_read) of fine tiles.
 
-    Coarse to fine, with bounds: coarse tiles are opened in the order of their bounds, twice as many each time; of an opened one, the fine
+    Coarse to fine, with bounds: coarse tiles are opened in the order of their bounds, four first and twice as many each time; of an opened one, the fine
     tiles whose bound passes the k-th best so far are searched. It ends when no closed coarse tile's bound passes that. No seed of a tile
     that is left out can be among the best, ties included. Gathered on the driver: ``k`` distances and a threshold.
     """
@@ -186,7 +186,7 @@ def best_starts(net: DataFrame, scenario: Scenario, seeds: DataFrame, k: int, co
     # One row per coarse tile, which cover the area: the window numbers tiles, not seeds.
     coarse = scratch.keep(placed.groupBy("coarse").agg(F.max("hope").alias("hope")).withColumn("rank", F.row_number().over(bounds)))
     fine = scratch.keep(placed.groupBy("coarse", "fine").agg(F.max("hope").alias("hope")))
-    found, read, first, many, threshold = None, None, 1, 1, -1
+    found, read, first, many, threshold = None, None, 1, 4, -1
     while not (batch := coarse.where(F.col("rank").between(first, first + many - 1) & (F.col("hope") >= threshold))).isEmpty():
         opened = scratch.keep(fine.where(F.col("hope") >= threshold).join(batch.select("coarse"), "coarse").select("coarse", "fine"))
         here = placed.join(opened, ["coarse", "fine"]).where(F.col("hope") >= threshold).select("grp", "node")
