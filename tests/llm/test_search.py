@@ -143,6 +143,72 @@ def test_each_alignment_is_judged(spark):
     assert got == {(1, 1), (3, 1), (4, 2)}
 
 
+def test_names_at_beginnings_of_sentences_and_rows_of_numbers(spark):
+    items = [
+        (1, "Anna has 12 apples. Ben takes 5 of them. Carl eats 2 more. How many remain?"),
+        (2, "What is 12 + 35 - 7 * 4?"),
+        (3, "The cat sat on the old mat. The dog lay on the cold floor. The bird sang in the tree."),
+        (4, "Add 5 and 5 and 9 and 11"),
+    ]
+    rows = [
+        (1, "Lisa has 30 apples. Tom takes 7 of them. Max eats 4 more. How many remain?"),
+        (2, "It is said that Lisa has 30 apples. Tom takes 7 of them. Max eats 4 more. How many remain? That is all."),
+        (3, "We asked: What is 15 + 3 - 9 * 2? Nobody knew."),
+        (4, "what is 15 + 3 - 9"),
+        (5, "A cat sat on the old mat. The dog lay on the cold floor. The bird sang in the tree."),
+        (6, "the cat sat on the old mat, the dog lay on the cold floor, the bird sang in the tree"),
+        (7, "Lisa has 30 pears. Tom gives 7 of those. Max wants 4 more. How many remain?"),
+        (8, "Add 7 and 7 and 2 and 1"),
+        (9, "Add 7 and 8 and 2 and 1"),
+        (10, "this 1 2 3 4 5 6 7 8 9 10 is 1 2 3 4 5 and what is 7"),
+        (11, "is 15 3 9 2"),
+    ]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (5, 3), (6, 3), (8, 4)}
+
+
+def test_generated_items_with_other_values_against_regexes(spark):
+    """An item as a regex: a group for each different name and number, a back reference where one comes again."""
+    rng = random.Random(7)
+    people, other, verbs, things = ["Anna", "Ben", "Carl", "Dora"], ["Lisa", "Tom", "Max", "Nina"], ["buys", "sells", "finds", "loses"], ["apples", "stones", "books", "old coins"]
+
+    def item():
+        said = [f"{rng.choice(people)} {rng.choice(verbs)} {rng.randint(2, 9)} {rng.choice(things)} at the market." for _ in range(rng.randint(2, 4))]
+        return " ".join(said) + " " + rng.choice(["How many are left in the end?", "What does the last one hold?"])
+
+    slot = re.compile(r"\b(?:" + "|".join(people) + r")\b|\d+")
+
+    def filled(text, broken):
+        values, seen = {}, 0
+        names, numbers = rng.sample(other, 4), rng.sample(range(10, 99), 9)
+        for x in slot.findall(text):
+            values.setdefault(x, str(numbers[len(values) % 9]) if x.isdigit() else names[people.index(x)])
+
+        def one(m):
+            nonlocal seen
+            seen += 1
+            return "77" if broken and seen > 1 and m[0].isdigit() else values[m[0]]
+
+        return slot.sub(one, text)
+
+    def regex(text):
+        out, at, names = "", 0, {}
+        for m in slot.finditer(text):
+            out += re.escape(text[at : m.start()])
+            known = m[0] in names
+            out += f"(?P={names[m[0]]})" if known else f"(?P<{names.setdefault(m[0], f'g{len(names)}')}>" + (r"\d+" if m[0].isdigit() else r"[A-Z][a-z]+") + ")"
+            at = m.end()
+        return re.compile(out + re.escape(text[at:]))
+
+    items = sorted({item() for _ in range(30)})
+    rows = [(k, f"Something first. {filled(items[k % len(items)], k % 5 == 0)} Something last.") for k in range(120)]
+    found = [regex(x) for x in items]
+    want = {(d, i) for d, t in rows for i, x in enumerate(found) if x.search(t)}
+    assert 90 <= len(want) < 125
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs_of(spark, rows), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert want <= got and {d for d, _ in got} == {d for d, _ in want}
+
+
 def test_rows_without_an_id_are_documents_of_their_own(spark):
     fox = ITEMS[1][1]
     half = len(fox) // 2

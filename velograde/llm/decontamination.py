@@ -11,9 +11,14 @@ the item, be it word by word or with other numbers, names and units.
 Windows of the benchmark with fewer than ``LITERALS`` plain words say too little and do not count. The first window does not count in the share
 either: what precedes an item in a document decides whether its first word is a name.
 
+A capitalised word that begins a sentence may be a name or not. Windows with such words are posted in both forms, and
+an item is looked for in two modes: with the words as they are (0), and with windows of either form (1), where what stands at
+the beginning of a sentence is a slot like any other name.
+
 Items that templates cannot carry, because they have at most five words or because fewer than half of their windows count (lists of names, rows of numbers),
 are searched word for word in the same way: all their windows, of five words or of the whole item, of plain lower-case words.
-Documents are hashed for these lengths only where the benchmark has such items.
+Documents are hashed for these lengths only where the benchmark has such items. Those of more than five words with ``LITERALS`` plain ones
+are looked for by template too (mode 2, such as arithmetic with other numbers): every window with a plain word, at one place, where the whole template then has to be the item's.
 
 Defined cases: null texts are empty and match nothing; items of fewer than three words say
 too little and are not searched; rows with one id are one document, each row without an id is one of its own (id null; equal texts are reported once); repeated items are each reported; empty tables yield no rows;
@@ -43,10 +48,16 @@ UNITS = (
     "pound", "pounds", "liter", "liters", "litre", "litres", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degree", "degrees",
 )
 NUMBER, UNIT, NAME = "#number", "#unit", "#name"
+#: Stands before a word that is a name or begins a sentence; no token holds it.
+INITIAL = "^"
+#: With the words as they are, with beginnings of sentences as names, whole templates.
+AS_WRITTEN, NAMED, WHOLE = 0, 1, 2
+#: Windows of plain words, looked for as they are written only.
+PLAIN = 3
 
 
 def tokenised(rows: DataFrame, text: Column) -> DataFrame:
-    """Add ``tokens`` and ``typed``: the template word of each token, null for sentence ends.
+    """Add ``tokens`` and ``typed``: the template word of each token, null for sentence ends, marked where it may be a name.
 
     Both are columns of steps of their own: an expression that a lambda refers to
     would be evaluated for each element.
@@ -63,55 +74,91 @@ def tokenised(rows: DataFrame, text: Column) -> DataFrame:
             .when((t < "0") | (t == "?"), F.lit(None))
             .when(t == plain, NUMBER)
             .when(numeric(before) & plain.isin(*UNITS), UNIT)
-            .when((i > 0) & ~before.isin(".", "!", "?", "\n") & (F.substring(t, 2, 1) != F.upper(F.substring(t, 2, 1))), NAME)
-            .otherwise(plain)
+            .when(F.substring(t, 2, 1) == F.upper(F.substring(t, 2, 1)), plain)
+            .when((i > 0) & ~before.isin(".", "!", "?", "\n"), NAME)
+            .otherwise(F.concat(F.lit(INITIAL), plain))
         )
 
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
     return rows.withColumn("tokens", found).withColumn("typed", F.transform("tokens", one))
 
 
+def as_word(w: Column) -> Column:
+    return F.when(w.startswith(INITIAL), F.substr(w, F.lit(2))).otherwise(w)
+
+
+def as_name(w: Column) -> Column:
+    return F.when(w.startswith(INITIAL), NAME).otherwise(w)
+
+
 def with_words(rows: DataFrame, text: Column) -> DataFrame:
-    """Add ``words``, the template of a text, and ``plain``, its words in lower case at the same places."""
+    """Add ``words``, the template of a text, ``named``, the same with beginnings of sentences as names, and ``plain``, its words in lower case at the same places."""
     plain = F.filter(F.zip_with("typed", "tokens", lambda w, v: F.when(w.isNotNull(), F.lower(v))), lambda x: x.isNotNull())
-    return tokenised(rows, text).withColumns({"words": F.filter("typed", lambda x: x.isNotNull()), "plain": plain}).drop("tokens", "typed")
+    rows = tokenised(rows, text).withColumns({"typed": F.filter("typed", lambda x: x.isNotNull()), "plain": plain})
+    return rows.withColumns({"words": F.transform("typed", as_word), "named": F.transform("typed", as_name)}).drop("tokens", "typed")
 
 
 def with_slots(rows: DataFrame, text: Column, name: str) -> DataFrame:
-    """Add (word, value) of each template word: the template and what stood there."""
-    pairs = F.zip_with("typed", "tokens", lambda w, v: F.struct(w.alias("word"), v.alias("value")))
+    """Add (word, named, value) of each template word: the template in both forms and what stood there."""
+    pairs = F.zip_with("typed", "tokens", lambda w, v: F.struct(as_word(w).alias("word"), as_name(w).alias("named"), v.alias("value")))
     return tokenised(rows, text).withColumn(name, F.filter(pairs, lambda x: x["word"].isNotNull())).drop("tokens", "typed")
 
 
-def windows(words: Column, size: int = WINDOW, *salt: Column) -> Column:
-    """The hash of each window of so many words, in order."""
+def windows(words: str, size: int = WINDOW, *salt: Column) -> Column:
+    """The hash of each window of so many words, in order; none for fewer words."""
     last = F.size(words) - size
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*salt, *[F.get(words, i + k) for k in range(size)])))
+    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*salt, *[F.get(F.col(words), i + k) for k in range(size)]))
+    return F.when(last >= 0, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
 def plain_windows(size: int) -> Column:
     """The windows of plain words: apart from the templates' and from those of other lengths."""
-    return windows(F.col("plain"), size, F.lit(f"plain {size}"))
+    return windows("plain", size, F.lit(f"plain {size}"))
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """(item_id, size, at, h, counts): the windows that are searched; size: 0 for templates, else the number of plain words."""
+    """(item_id, size, mode, at, h, counts): the windows that are searched; size: 0 for templates, else the number of plain words."""
     # A table: what a lambda or a later step refers to is not computed again for each element.
-    rows = table(with_words(items, F.col("text")).select("item_id", "words", "plain").withColumn("row", F.monotonically_increasing_id()), "benchmark-words")
+    rows = table(with_words(items, F.col("text")).select("item_id", "words", "named", "plain").withColumn("row", F.monotonically_increasing_id()), "benchmark-words")
     rows = rows.withColumn("n", F.size("words"))
-    template = rows.where(F.col("n") > WINDOW).select("row", "item_id", "n", "words", F.posexplode(windows(F.col("words"))).alias("at", "h"))
-    literal = F.size(F.filter(F.slice("words", F.col("at") + 1, WINDOW), lambda w: ~w.startswith("#")))
+    plain_words = lambda words: F.size(F.filter(words, lambda w: ~w.startswith("#")))
+
+    def templates(words: str) -> DataFrame:
+        each = rows.where(F.col("n") > WINDOW).select("row", "item_id", "n", words, F.posexplode(windows(words)).alias("at", "h"))
+        return each.select("row", "item_id", "n", "at", "h", plain_words(F.slice(words, F.col("at") + 1, WINDOW)).alias("literal"))
+
     # The first window is searched with the others of a template, though it does not count.
-    template = template.where(literal >= LITERALS).select("row", "item_id", "n", F.lit(0).alias("size"), "at", "h", (F.col("at") > 0).alias("counts"))
-    carried = template.where("counts").groupBy("row", "n").agg(F.count(F.lit(1)).alias("some")).where(2 * F.col("some") >= F.col("n") - WINDOW).select("row")
-    names = ["item_id", "size", "at", "h", "counts"]
-    out, rest = template.join(carried, "row", "left_semi").select(*names), rows.join(carried, "row", "left_anti")
+    counts = (F.col("at") > 0).alias("counts")
+    template = templates("words")
+    enough = template.where(F.col("literal") >= LITERALS).select("row", "item_id", "n", F.lit(0).alias("size"), F.lit(AS_WRITTEN).alias("mode"), "at", "h", counts)
+    carried = enough.where("counts").groupBy("row", "n").agg(F.count(F.lit(1)).alias("some")).where(2 * F.col("some") >= F.col("n") - WINDOW).select("row")
+    # Of the other form the windows that count as they are written; where it is the same, a document's other form may meet it.
+    own = enough.select("row", "at", F.col("h").alias("written"))
+    named = templates("named").where(F.col("literal") >= LITERALS).join(own, ["row", "at"]).where("h != written")
+    named = named.select("row", "item_id", "n", F.lit(0).alias("size"), F.lit(NAMED).alias("mode"), "at", "h", counts)
+    names = ["item_id", "size", "mode", "at", "h", "counts"]
+    out, rest = enough.union(named).join(carried, "row", "left_semi").select(*names), rows.join(carried, "row", "left_anti")
+    whole = rest.where(plain_words(F.col("words")) >= LITERALS).select("row")
+    whole = template.where(F.col("literal") >= 1).join(whole, "row", "left_semi")
+    out = out.union(whole.select("item_id", F.lit(0).alias("size"), F.lit(WHOLE).alias("mode"), "at", "h", counts))
     for size in range(LEAST, WINDOW + 1):
         own = rest.where((F.col("n") >= size) & (F.lit(size == WINDOW) | (F.col("n") == size)))
-        out = out.union(own.select("item_id", F.lit(size).alias("size"), F.posexplode(plain_windows(size)).alias("at", "h"), F.lit(True).alias("counts")).select(*names))
+        out = out.union(own.select("item_id", F.lit(size).alias("size"), F.lit(PLAIN).alias("mode"), F.posexplode(plain_windows(size)).alias("at", "h"), F.lit(True).alias("counts")).select(*names))
     return out
 
 
+def document_windows(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """(key, doc_id, pos, h, written) of the windows of a document, all lengths in one pass; templates have those that differ in their other form too."""
+    rows = with_words(docs, F.col("text"))
+    one = lambda written: lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.lit(written).alias("written"))
+    parts = [F.transform(plain_windows(n), one(True)) for n in sizes if n]
+    if 0 in sizes or not parts:
+        rows = rows.withColumns({"w": windows("words"), "v": windows("named")})
+        other = F.zip_with("w", "v", lambda a, b: F.when(a != b, b))
+        parts += [F.transform("w", one(True)), F.filter(F.transform(other, one(False)), lambda x: x["h"].isNotNull())]
+    return rows.select("key", "doc_id", F.explode(F.concat(*parts)).alias("x")).select("key", "doc_id", "x.*")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, windows, matched, coverage, verbatim."""
     return held(docs, benchmark, id_col, text_col, item_col, item_text_col, percent).drop("key")
@@ -122,44 +169,51 @@ def held(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     docs = docs.select(own_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     wanted = table(benchmark_windows(items), "benchmark-windows")
-    totals = wanted.where("counts").groupBy("item_id").agg(F.count_distinct("at").alias("windows"))
+    # An item counts its windows once, whatever their form.
+    mode = F.col("mode")
+    totals = wanted.where("counts").withColumn("whole", mode == WHOLE).groupBy("item_id", "whole").agg(F.count_distinct("at").alias("windows"))
     # At most one row for each length.
     sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())
     wanted = wanted.drop("size")
     if rows_below(wanted, BROADCAST_WINDOWS):
         wanted = F.broadcast(wanted)
-    each = [windows(F.col("words"))] if 0 in sizes else []
-    each += [plain_windows(n) for n in sizes if n]
-    read = with_words(docs, F.col("text"))
-    parts = [read.select("key", "doc_id", F.posexplode(x).alias("pos", "h")).join(wanted, "h") for x in each or [windows(F.col("words"))]]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
-    found = table(found.select("key", "doc_id", "item_id", "at", "counts", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "benchmark-found")
-    shares = found.groupBy("key", "doc_id", "item_id").agg(F.count_distinct(F.when(F.col("counts"), F.col("at"))).alias("matched"))
-    hits = table(shares.join(totals, "item_id").where(100 * F.col("matched") >= percent * F.col("windows")), "benchmark-hits")
+    met = document_windows(docs, sizes).join(wanted, "h")
+    # Windows as they are written serve both modes, those with another form on either side the second; whole templates are looked for as written.
+    both = (mode == AS_WRITTEN) & F.col("written")
+    modes = F.when(mode == WHOLE, F.when(F.col("written"), F.array(F.lit(WHOLE)))).when(mode == PLAIN, F.array(F.lit(AS_WRITTEN)))
+    modes = modes.when(both, F.array(F.lit(AS_WRITTEN), F.lit(NAMED))).otherwise(F.array(F.lit(NAMED)))
+    met = met.select("key", "doc_id", "item_id", "at", "counts", (F.col("pos") - F.col("at")).alias("shift"), F.explode(modes).alias("mode"))
+    found = table(met.distinct(), "benchmark-found")
+    least = F.when(mode == WHOLE, 100).otherwise(percent)
+    shares = found.groupBy("key", "doc_id", "item_id", "mode").agg(F.count_distinct(F.when(F.col("counts"), F.col("at"))).alias("matched")).withColumn("whole", mode == WHOLE)
+    hits = table(shares.join(totals, ["item_id", "whole"]).where(100 * F.col("matched") >= least * F.col("windows")).drop("whole"), "benchmark-hits")
     # Only documents with hits are read again, for the values in their slots.
     read = docs.join(hits.select("key").distinct(), "key", "left_semi")
     read = with_slots(read, F.col("text"), "theirs").select("key", "theirs")
     ours = with_slots(items, F.col("text"), "ours").select("item_id", "ours")
-    aligned = alignments(found.drop("doc_id").join(hits, ["key", "item_id"]), ours.groupBy("item_id").agg(F.max(F.size("ours")).alias("length")), percent)
+    aligned = alignments(found.drop("doc_id").join(hits, ["key", "item_id", "mode"]), ours.groupBy("item_id").agg(F.max(F.size("ours")).alias("length")), least)
     pairs = aligned.join(ours, "item_id").join(read, "key")
-    # The slots of each window that matched, at its own shift.
+    # The slots of each window that matched, at its own shift; of a whole template all.
     slots = F.array_distinct(F.flatten(F.transform("spots", lambda x: F.transform(F.array(*map(F.lit, range(WINDOW))), lambda k: F.struct((x["at"] + k).alias("i"), (x["at"] + x["shift"] + k).alias("j"))))))
-    pairs = pairs.withColumn("slots", slots)
-    filled = F.filter(
-        F.transform("slots", lambda x: F.struct(F.get("ours", x["i"])["word"].alias("word"), F.get("ours", x["i"])["value"].alias("value"), F.get("theirs", x["j"])["word"].alias("word2"), F.get("theirs", x["j"])["value"].alias("value2"))),
-        lambda x: x["word"].startswith("#") & (x["word"] == x["word2"]),
-    )
-    names = ["key", "doc_id", "item_id", "windows", "matched"]
-    pairs = pairs.select(*names, filled.alias("filled"))
-    values = F.array_distinct(F.transform("filled", lambda x: F.struct(x["word"].alias("w"), x["value"].alias("v"))))
-    both = F.array_distinct(F.transform("filled", lambda x: F.struct(x["word"].alias("w"), x["value"].alias("v"), x["value2"].alias("v2"))))
-    verbatim = F.forall("filled", lambda x: x["value"] == x["value2"])
+    shift = F.get("spots", F.lit(0))["shift"]
+    every = F.transform("ours", lambda x, i: F.struct(i.alias("i"), (i + shift).alias("j")))
+    pairs = pairs.withColumn("slots", F.when(mode == WHOLE, every).otherwise(slots))
+    form = lambda x: F.when(mode == AS_WRITTEN, x["word"]).otherwise(x["named"])
+    side = lambda x, n: [x["word"].alias(f"word{n}"), form(x).alias(f"form{n}"), x["value"].alias(f"value{n}")]
+    met = F.transform("slots", lambda x: F.struct(*side(F.get("ours", x["i"]), 1), *side(F.get("theirs", x["j"]), 2)))
+    # Before the first word and after the last one of the document there are no words to get.
+    equal = lambda x: F.coalesce((x["word1"] == x["word2"]) | (x["form1"] == x["form2"]), F.lit(False))
+    names = ["key", "doc_id", "item_id", "mode", "windows", "matched"]
+    pairs = pairs.select(*names, met.alias("met")).where((mode != WHOLE) | F.forall("met", equal))
+    pairs = pairs.withColumn("filled", F.filter("met", lambda x: x["form1"].startswith("#") & (x["form1"] == x["form2"])))
+    values = F.array_distinct(F.transform("filled", lambda x: F.struct(x["form1"].alias("w"), x["value1"].alias("v"))))
+    both = F.array_distinct(F.transform("filled", lambda x: F.struct(x["form1"].alias("w"), x["value1"].alias("v"), x["value2"].alias("v2"))))
+    verbatim = F.forall("filled", lambda x: x["value1"] == x["value2"])
     judged = pairs.select(*names, (F.size(values) == F.size(both)).alias("consistent"), verbatim.alias("verbatim"))
     # A document holds the item if one of its alignments, in one of the rows with its id, does.
-    kept = judged.where("consistent").groupBy("key", "doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("matched").alias("matched"), F.max("verbatim").alias("verbatim"))
-    return kept.withColumn("coverage", F.col("matched") / F.col("windows"))
+    share = F.struct((F.col("matched") / F.col("windows")).alias("coverage"), "windows", "matched")
+    kept = judged.where("consistent").groupBy("key", "doc_id", "item_id").agg(F.max(share).alias("x"), F.max("verbatim").alias("verbatim"))
+    return kept.select("key", "doc_id", "item_id", "x.windows", "x.matched", "verbatim", "x.coverage")
 
 
 def own_key(doc_id: Column, text: Column) -> Column:
@@ -167,22 +221,22 @@ def own_key(doc_id: Column, text: Column) -> Column:
     return F.when(doc_id.isNull(), F.concat(F.lit("text "), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))).otherwise(F.concat(F.lit("id "), doc_id.cast("string")))
 
 
-def alignments(found: DataFrame, lengths: DataFrame, percent: int) -> DataFrame:
-    """(key, doc_id, item_id, windows, matched, spots): the windows (at, shift) of each alignment of a document with an item.
+def alignments(found: DataFrame, lengths: DataFrame, percent: Column) -> DataFrame:
+    """(key, doc_id, item_id, mode, windows, matched, spots): the windows (at, shift) of each alignment of a document with an item.
 
     Every shift with windows is one: alone, and with each other window of the item at the shift that is nearest, at most the
     item's length away (words may be inserted or missing). These have to reach the share. The shift with
-    most windows is one with the windows at any other shift.
+    most windows is one with the windows at any other shift. Whole templates stand at one shift.
     """
-    names = ["key", "doc_id", "item_id", "windows", "matched"]
+    names = ["key", "doc_id", "item_id", "mode", "windows", "matched"]
     found = found.join(lengths, "item_id").withColumn("cell", F.floor(F.col("shift") / F.col("length")))
     base = found.groupBy(*names, "cell", F.col("shift").alias("base")).agg(F.count(F.lit(1)).alias("n"))
-    best = base.groupBy("key", "item_id").agg(F.max(F.struct("n", "base")).alias("x")).select("key", "item_id", F.col("x.base").alias("base"))
-    spot = found.select("key", "item_id", "at", "counts", "shift", "length", "cell")
+    best = base.groupBy("key", "item_id", "mode").agg(F.max(F.struct("n", "base")).alias("x")).select("key", "item_id", "mode", F.col("x.base").alias("base"))
+    spot = found.where(F.col("mode") != WHOLE).select("key", "item_id", "mode", "at", "counts", "shift", "length", "cell")
     around = base.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
-    near = around.join(spot, ["key", "item_id", "cell"]).where("abs(shift - base) <= length").select(*names, "base", "at", "counts", "shift", F.lit(0).alias("kind"))
+    near = around.join(spot, ["key", "item_id", "mode", "cell"]).where("abs(shift - base) <= length").select(*names, "base", "at", "counts", "shift", F.lit(0).alias("kind"))
     alone = found.select(*names, F.col("shift").alias("base"), "at", "counts", "shift", F.lit(1).alias("kind"))
-    pooled = found.join(best, ["key", "item_id"]).select(*names, "base", "at", "counts", "shift", F.lit(2).alias("kind"))
+    pooled = found.where(F.col("mode") != WHOLE).join(best, ["key", "item_id", "mode"]).select(*names, "base", "at", "counts", "shift", F.lit(2).alias("kind"))
     away = F.struct(F.abs(F.col("shift") - F.col("base")).alias("d"), "shift")
     every = near.union(alone).union(pooled).groupBy(*names, "base", "kind", "at", "counts").agg(F.min(away).alias("x"))
     every = every.groupBy(*names, "base", "kind").agg(F.collect_list(F.struct("at", F.col("x.shift").alias("shift"))).alias("spots"), F.sum(F.col("counts").cast("long")).alias("own"))
