@@ -92,10 +92,10 @@ def as_name(w: Column) -> Column:
 
 
 def with_words(rows: DataFrame, text: Column) -> DataFrame:
-    """Add ``words``, the template of a text, ``named``, the same with beginnings of sentences as names, and ``plain``, its words in lower case at the same places."""
+    """Add ``typed``, the template of a text with its marks, ``words``, without them, ``named``, the same with beginnings of sentences as names, and ``plain``, its words in lower case at the same places."""
     plain = F.filter(F.zip_with("typed", "tokens", lambda w, v: F.when(w.isNotNull(), F.lower(v))), lambda x: x.isNotNull())
     rows = tokenised(rows, text).withColumns({"typed": F.filter("typed", lambda x: x.isNotNull()), "plain": plain})
-    return rows.withColumns({"words": F.transform("typed", as_word), "named": F.transform("typed", as_name)}).drop("tokens", "typed")
+    return rows.withColumns({"words": F.transform("typed", as_word), "named": F.transform("typed", as_name)}).drop("tokens")
 
 
 def with_slots(rows: DataFrame, text: Column, name: str) -> DataFrame:
@@ -148,15 +148,18 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
 
 
 def document_windows(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """(key, doc_id, pos, h, written) of the windows of a document, all lengths in one pass; templates have those that differ in their other form too."""
+    """(key, doc_id, pos, h, written) of the windows of a document, all lengths in one pass; templates come in both forms."""
     rows = with_words(docs, F.col("text"))
-    one = lambda written: lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.lit(written).alias("written"))
-    parts = [F.transform(plain_windows(n), one(True)) for n in sizes if n]
+    parts = [(n, True, plain_windows(n)) for n in sizes if n]
     if 0 in sizes or not parts:
-        rows = rows.withColumns({"w": windows("words"), "v": windows("named")})
-        other = F.zip_with("w", "v", lambda a, b: F.when(a != b, b))
-        parts += [F.transform("w", one(True)), F.filter(F.transform(other, one(False)), lambda x: x["h"].isNotNull())]
-    return rows.select("key", "doc_id", F.explode(F.concat(*parts)).alias("x")).select("key", "doc_id", "x.*")
+        parts += [(WINDOW, True, windows("words")), (WINDOW, False, windows("named"))]
+    rows = rows.select("key", "doc_id", F.size("typed").alias("n"), F.posexplode(F.concat(*[p for _, _, p in parts])).alias("place", "h"))
+    # One array after the other: the place tells which one it is, and where the window is in that.
+    pos, written, end = F.col("place"), F.lit(parts[0][1]), F.lit(0)
+    for (size, _, _), (_, form, _) in zip(parts, parts[1:]):
+        end = end + F.greatest(F.col("n") - (size - 1), F.lit(0))
+        pos, written = F.when(F.col("place") >= end, F.col("place") - end).otherwise(pos), F.when(F.col("place") >= end, form).otherwise(written)
+    return rows.select("key", "doc_id", pos.alias("pos"), "h", written.alias("written"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -188,7 +191,8 @@ def held(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     shares = found.groupBy("key", "doc_id", "item_id", "mode").agg(F.count_distinct(F.when(F.col("counts"), F.col("at"))).alias("matched")).withColumn("whole", mode == WHOLE)
     hits = table(shares.join(totals, ["item_id", "whole"]).where(100 * F.col("matched") >= least * F.col("windows")).drop("whole"), "benchmark-hits")
     # Only documents with hits are read again, for the values in their slots.
-    read = docs.join(hits.select("key").distinct(), "key", "left_semi")
+    keys = table(hits.select("key").distinct(), "benchmark-keys")
+    read = docs.join(F.broadcast(keys) if rows_below(keys, BROADCAST_WINDOWS) else keys, "key", "left_semi")
     read = with_slots(read, F.col("text"), "theirs").select("key", "theirs")
     ours = with_slots(items, F.col("text"), "ours").select("item_id", "ours")
     aligned = alignments(found.drop("doc_id").join(hits, ["key", "item_id", "mode"]), ours.groupBy("item_id").agg(F.max(F.size("ours")).alias("length")), least)
