@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from velograde.functions.physics import Scenario
 from velograde.operators import graph, routes
+from velograde.plans import route_queries
 
 SCENARIO = Scenario(initial_speed_m_s=6.0)
 
@@ -149,3 +150,21 @@ def test_odd_cases(spark):
     assert routes.labels(none, SCENARIO, seeds.limit(0)).collect() == []
     with pytest.raises(ValueError, match="wind"):
         routes.rideable(one, Scenario(along_route_wind_m_s=1.0))
+
+
+def line_items(spark, folder, rows):
+    """A lineitem table of (order, part, supplier, number of the line, quantity)."""
+    table = spark.createDataFrame([(*r, 1.0) for r in rows], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double")
+    table.write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_edges_with_one_id_as_in_sql(spark, tmp_path):
+    """An order of 18 lines: its last two share ids with lines of the next order."""
+    duckdb = pytest.importorskip("duckdb")
+    folder = line_items(spark, tmp_path, [(7, 40 + k, k, k % 7 + 1, float(k)) for k in range(18)] + [(8, 90 + k, k, k + 1, 3.0) for k in range(3)])
+    found = route_queries.QUERIES["road_network"](spark, folder).collect()
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{folder}/lineitem.parquet/*.parquet'")
+    want = con.sql(route_queries.SQL["road_network"]).fetchall()
+    assert len(want) == 17 + 2 * 3 + 2 and sorted(map(tuple, found)) == sorted(want)

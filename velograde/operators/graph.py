@@ -46,7 +46,12 @@ def _placed() -> Column:
 
 def network(samples: DataFrame, snap_m: float = SNAP_M) -> DataFrame:
     """(edge_id, a, b, za, zb, horizontal_length_m) of sampled edges: from node a to node b, with the nodes' elevations."""
-    ends = _ends(samples).where(_placed())
+    return network_of_ends(_ends(samples), snap_m)
+
+
+def network_of_ends(ends: DataFrame, snap_m: float = SNAP_M) -> DataFrame:
+    """The same of edges (edge_id, p, q, horizontal_length_m) with the ends p and q, each row an edge whatever its id."""
+    ends = ends.where(_placed())
     ends = ends.select("edge_id", *[node_id(F.col(f"{e}.x_m"), F.col(f"{e}.y_m"), snap_m).alias(n) for e, n in (("p", "a"), ("q", "b"))], F.col("p.elevation_m").alias("za"), F.col("q.elevation_m").alias("zb"), "horizontal_length_m")
     both = ends.select(F.col("a").alias("node"), F.col("za").alias("z")).union(ends.select("b", "zb"))
     heights = both.groupBy("node").agg(F.min("z").alias("z"))
