@@ -4,7 +4,7 @@ An edge's ends are its first and last sample, snapped to a grid in metres; ends
 node, and a node's elevation is the lowest of its ends. So edges agree about heights, and what a rider loses on
 one edge another does not give back.
 
-Components come from a table of parents: each round every node takes the least parent that it, its
+Components are found inside blocks of the plane first; what is left are links between the blocks' parts. These come from a table of parents: each round every node takes the least parent that it, its
 parent or a neighbour's grandparent offers, which are minima over groups (combined before the shuffle), and
 paths to roots halve. Rounds grow with the logarithm of the nodes.
 
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velograde.functions.physics import finite
+from velograde.operators import blocks
 from velograde.operators.profiles import with_chainage
 from velograde.sources.scratch import Scratch
 
@@ -73,11 +74,40 @@ def nodes(net: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.min("z_m").alias("z_m"), F.sum("in").alias("edges_in"), F.sum("out").alias("edges_out"))
 
 
+def _parts(scratch: Scratch, links: DataFrame) -> DataFrame:
+    """(node, root, z_m, into, own) of links (a, b, za, zb): the parts inside blocks; a node that links lead to from other blocks stands in theirs too, without ``own``."""
+    rows = links.select(blocks.block(F.col("a")).alias("block"), "a", "b", "za", "zb")
+    far = blocks.block(F.col("b"))
+    # The block of a node that is led to from elsewhere has a row of it, so that its part there is known, and that an edge leads to it.
+    alone = links.where(blocks.block(F.col("a")) != far).select(far.alias("block"), F.col("b").alias("a"), "b", F.col("zb").alias("za"), "zb")
+    return scratch.keep(blocks.by_block(rows.unionByName(alone), blocks.parts, blocks.PARTS))
+
+
+def _joined(scratch: Scratch, parts: DataFrame) -> DataFrame:
+    """(node, component) of the roots that links between blocks join to others."""
+    away = parts.where("not own").select("node", F.col("root").alias("from"))
+    between = away.join(parts.where("own").select("node", "root"), "node").select(F.col("from").alias("u"), F.col("root").alias("v"))
+    return _rounds(scratch, between)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of all nodes at links; component: the least node that a way of links leads to."""
     scratch = Scratch(links.sparkSession, "components")
-    ends = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    none = F.lit(0.0)
+    ends = links.select(F.coalesce(a, b).cast("long").alias("a"), F.coalesce(b, a).cast("long").alias("b"), none.alias("za"), none.alias("zb"))
+    parts = _parts(scratch, ends.where("a is not null"))
+    joined = _joined(scratch, parts)
+    found = parts.where("own").join(joined.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("component", "root").alias("component"))
+    found = scratch.keep(found)
+    scratch.close(found)
+    return found
+
+
+def _rounds(scratch: Scratch, ends: DataFrame) -> DataFrame:
+    """(node, component) of links (u, v), by rounds over a table of parents."""
     both = scratch.keep(ends.union(ends.select("v", "u")).distinct())
+    if both.isEmpty():
+        return both.select(F.col("u").alias("node"), F.col("v").alias("component"))
     now = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")))
     while True:
         # g: the parent's parent.
@@ -91,7 +121,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         scratch.drop(now, up)
         now = following
         if not changed:
-            scratch.close(now)
             return now.select(F.col("u").alias("node"), F.col("p").alias("component"))
 
 
@@ -102,8 +131,13 @@ def downhill(net: DataFrame, least_drop_m: float = 0.0) -> DataFrame:
 
 def downhill_components(net: DataFrame, least_drop_m: float = 0.0) -> DataFrame:
     """(node, component, z_m, is_seed): nodes that falling edges link, whichever way; a seed has no falling edge into it."""
-    falling = downhill(net, least_drop_m)
-    return nodes(falling).join(components(falling), "node").select("node", "component", "z_m", (F.col("edges_in") == 0).alias("is_seed"))
+    scratch = Scratch(net.sparkSession, "downhill")
+    parts = _parts(scratch, downhill(net, least_drop_m).select("a", "b", "za", "zb"))
+    joined = _joined(scratch, parts).withColumnRenamed("node", "root")
+    own = parts.where("own").join(joined, "root", "left")
+    found = scratch.keep(own.select("node", F.coalesce("component", "root").alias("component"), "z_m", (~F.col("into")).alias("is_seed")))
+    scratch.close(found)
+    return found
 
 
 def summary(found: DataFrame) -> DataFrame:
