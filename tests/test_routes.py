@@ -168,3 +168,55 @@ def test_edges_with_one_id_as_in_sql(spark, tmp_path):
     con.sql(f"create view lineitem as select * from '{folder}/lineitem.parquet/*.parquet'")
     want = con.sql(route_queries.SQL["road_network"]).fetchall()
     assert len(want) == 17 + 2 * 3 + 2 and sorted(map(tuple, found)) == sorted(want)
+
+
+def kept_tables(monkeypatch):
+    kept = []
+    keep = graph.Scratch.keep
+    monkeypatch.setattr(graph.Scratch, "keep", lambda self, df: kept.append(1) or keep(self, df))
+    return kept
+
+
+def chain(spark, x0, count):
+    """A falling road of ``count`` edges of 50 m from x0 on."""
+    node = lambda k: (x0 + 50 * k) * 2**32 + 2**31
+    rows = [(k, node(k), node(k + 1), 900.0 - k, 899.0 - k, 50.0) for k in range(count)]
+    return spark.createDataFrame(rows, "edge_id long, a long, b long, za double, zb double, horizontal_length_m double"), node
+
+
+def test_components_take_few_tables(spark, monkeypatch):
+    """Within a block one pass does; a chain over two blocks is one component with one seed."""
+    kept = kept_tables(monkeypatch)
+    inside, node = chain(spark, 0, 60)
+    assert {r.component for r in graph.downhill_components(inside).collect()} == {node(0)} and len(kept) <= 4
+    across, node = chain(spark, 15000, 60)
+    found = graph.downhill_components(across).collect()
+    assert {r.node: r.component for r in found} == {node(k): node(0) for k in range(61)}
+    assert [r.node for r in found if r.is_seed] == [node(0)]
+
+
+def test_searches_take_a_table_a_block(spark, monkeypatch):
+    """A ride through one block takes one round, through two blocks two."""
+    for x0, most in ((0, 1), (15000, 2)):
+        net, node = chain(spark, x0, 60)
+        seeds = spark.createDataFrame([(node(0),)], "node long")
+        states = walk(net, [(0, node(0))])
+        kept = kept_tables(monkeypatch)
+        assert {tuple(r) for r in routes.labels(net, SCENARIO, seeds).collect()} == {s[1:] for s in states}
+        assert len(kept) <= most
+        monkeypatch.undo()
+
+
+def test_searches_over_blocks(spark):
+    """Places around a corner of four blocks."""
+    rows = [(e, k, x + 14500.0, y - 2000.0, *rest) for e, k, x, y, *rest in samples_of(random.Random(9), 40, 90)]
+    net = graph.network(spark.createDataFrame(rows, "edge_id long, sample_idx int, x_m double, y_m double, elevation_m double, a string")).cache()
+    seeds = graph.nodes(net).select((F.col("node") % 3).alias("grp"), "node").orderBy("node").limit(6).cache()
+    states = walk(net, [tuple(r) for r in seeds.collect()])
+    pairs = {s[1:] for s in states}
+    front = {p for p in pairs if not any(q != p and q[0] == p[0] and q[1] >= p[1] and q[2] >= p[2] for q in pairs)}
+    assert {tuple(r) for r in routes.labels(net, SCENARIO, seeds).collect()} == front
+    longest = {}
+    for s, _n, _e, d in states:
+        longest[s] = max(longest.get(s, 0), d)
+    assert {r.grp: r.d for r in routes.longest(net, SCENARIO, seeds).collect()} == longest

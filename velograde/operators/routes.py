@@ -5,7 +5,8 @@ and air resistance), so E(s) = f/k + (E(0) - f/k) exp(-k s): a closed form, incr
 is at both ends. The state is the energy in whole quanta, rounded down after each edge, so that equal states are equal and no way is rated too high;
 more energy at a node is never worse. Distances are whole millimetres, for the same reason. A rider goes on while the energy is above that of the stopping speed.
 
-Every search relaxes a frontier: states that improved in one round are joined to the edges that leave their nodes. Friction takes energy on every metre and
+Every exact search goes on inside blocks of the plane until nothing improves there; a round hands the states that leave a block to the next one, for which only
+those blocks are read. A beam relaxes a frontier: states that go on after one round are joined to the edges that leave their nodes. Friction takes energy on every metre and
 nodes have one height, so states that come back to a node have less energy and searches end. The tables of rounds cut the lineage.
 
 Defined cases: seeds that are null or at no node of the graph yield themselves only; repeated seeds count once; edges without a grade within 0.5 are not ridden; edges in parallel are tried each;
@@ -22,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from velograde.functions.physics import MAX_GRADE, Scenario
+from velograde.operators import blocks
 from velograde.sources.scratch import Scratch
 
 QUANTUM_J = 1.0
@@ -64,21 +66,48 @@ def _least(scenario: Scenario, quantum_j: float) -> int:
 
 def best_energy(net: DataFrame, scenario: Scenario, seeds: DataFrame, quantum_j: float = QUANTUM_J) -> DataFrame:
     """(node, e): the most energy (quanta) with which a rider who starts at a seed (node) at the initial speed can be at a node."""
-    scratch = Scratch(net.sparkSession, "best-energy")
-    edges = scratch.keep(rideable(net, scenario).select("a", "b", "keep", "gain_j"))
-    least = _least(scenario, quantum_j)
-    now = scratch.keep(seeds.select("node").where("node is not null").distinct().withColumn("e", F.lit(energy(scenario.initial_speed_m_s, scenario, quantum_j)).cast("long")))
-    frontier = now
+    starts = seeds.select(F.lit(0).alias("grp"), "node").where("node is not null").distinct()
+    return _blocked(net, scenario, starts, quantum_j, energy_only=True).select("node", "e")
+
+
+#: Blocks that a round reads are sent to the tasks up to so many, and joined beyond that.
+BLOCKS_SENT = 200_000
+
+
+def _blocked(net: DataFrame, scenario: Scenario, starts: DataFrame, quantum_j: float, energy_only: bool = False, farthest: bool = False) -> DataFrame:
+    """The labels (grp, node, e, d) of starts (grp, node) that no other of group and node beats; with ``energy_only`` d is 0, with ``farthest`` (grp, d) alone.
+
+    A label that comes into a block again, beaten or not, is gone on with there once more: that costs time, not labels.
+    """
+    scratch = Scratch(net.sparkSession, "blocks")
+    block = blocks.block(F.col("node"))
+    length = F.lit(0).cast("long") if energy_only else F.col("length_mm")
+    nothing = F.lit(None).cast("long")
+    edges = rideable(net, scenario).select(F.col("a").alias("node"), "b", "keep", "gain_j", length.alias("d"), nothing.alias("grp"), nothing.alias("e")).withColumn("block", block)
+    step = blocks.coast(_least(scenario, quantum_j), quantum_j, farthest)
+    start = F.lit(energy(scenario.initial_speed_m_s, scenario, quantum_j)).cast("long")
+    entering = starts.select(F.col("grp").cast("long").alias("grp"), "node", start.alias("e"), F.lit(0).cast("long").alias("d"))
+    rounds = []
     while True:
-        offers = frontier.join(edges, frontier["node"] == edges["a"]).select(F.col("b").alias("node"), _after(quantum_j).alias("e")).where(F.col("e") > least)
-        better = offers.groupBy("node").agg(F.max("e").alias("e")).join(now.withColumnRenamed("e", "held"), "node", "left").where("held is null or e > held").select("node", "e")
-        better = scratch.keep(better)
-        if better.isEmpty():
-            scratch.close(now)
-            return now
-        following = scratch.keep(now.union(better).groupBy("node").agg(F.max("e").alias("e")))
-        scratch.drop(now, frontier)
-        now, frontier = following, better
+        labels = entering.withColumn("block", block)
+        read = edges
+        if rounds:
+            active = labels.select("block").distinct()
+            read = edges.join(F.broadcast(active) if active.limit(BLOCKS_SENT + 1).count() <= BLOCKS_SENT else active, "block", "left_semi")
+        done = scratch.keep(blocks.by_block(read.unionByName(labels, allowMissingColumns=True), step, blocks.LABELS))
+        rounds.append(done)
+        entering = done.where("leaves").select("grp", "node", "e", "d")
+        if entering.isEmpty():
+            break
+    held = rounds[0].where("not leaves")
+    for more in rounds[1:]:
+        held = held.union(more.where("not leaves"))
+    if farthest:
+        return held.groupBy("grp").agg(F.max("d").alias("d"))
+    # Only labels at nodes that a later round reached meet others.
+    if len(rounds) == 1:
+        return held.drop("leaves")
+    return skyline(held.drop("leaves"), ("grp", "node"), 1)
 
 
 def skyline(labels: DataFrame, keys: tuple[str, ...] = ("node",), salts: int = SALTS) -> DataFrame:
@@ -92,28 +121,33 @@ def skyline(labels: DataFrame, keys: tuple[str, ...] = ("node",), salts: int = S
         before = W.partitionBy(*by).orderBy(F.desc("e"), F.desc("d")).rowsBetween(W.unboundedPreceding, -1)
         return rows.withColumn("most", F.max("d").over(before)).where("most is null or d > most").drop("most")
 
+    if salts == 1:
+        return once(labels, list(keys))
     local = once(labels.withColumn("salt", F.pmod(F.xxhash64("e", "d"), F.lit(salts))), [*keys, "salt"])
     return once(local.drop("salt"), list(keys))
 
 
+#: Labels of a round of a beam are sent to the tasks up to so many, and joined beyond that.
+LABELS_SENT = 200_000
 Prune = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def _search(net: DataFrame, scenario: Scenario, starts: DataFrame, keys: tuple[str, ...], quantum_j: float, prune: Prune | None) -> DataFrame:
-    """All labels (keys, e, d) that no other beats; ``prune(found, fresh)`` thins the labels to go on with."""
+def _search(net: DataFrame, scenario: Scenario, starts: DataFrame, keys: tuple[str, ...], quantum_j: float, prune: Prune) -> DataFrame:
+    """Labels (keys, e, d) that no other beats, by rounds; ``prune(found, fresh)`` thins the labels to go on with."""
     scratch = Scratch(net.sparkSession, "labels")
     edges = scratch.keep(rideable(net, scenario).select("a", "b", "zb", "length_mm", "keep", "gain_j"))
     least, columns = _least(scenario, quantum_j), [*keys, "z", "e", "d"]
     held = frontier = scratch.keep(starts.select(*columns, F.lit(False).alias("fresh")))
     while True:
-        grown = frontier.join(edges, frontier["node"] == edges["a"]).select(
+        sent = F.broadcast(frontier) if frontier.limit(LABELS_SENT + 1).count() <= LABELS_SENT else frontier
+        grown = sent.join(edges, F.col("node") == F.col("a")).select(
             *[F.col("b").alias("node") if k == "node" else F.col(k) for k in keys], F.col("zb").alias("z"), _after(quantum_j).alias("e"), (F.col("d") + F.col("length_mm")).alias("d"), F.lit(True).alias("fresh")
         )
         # A label that is held already is not gone on with again.
         both = held.withColumn("fresh", F.lit(False)).union(grown.where(F.col("e") > least)).groupBy(*columns).agg(F.min("fresh").alias("fresh"))
         following = scratch.keep(skyline(both, keys))
         fresh = following.where("fresh")
-        fresh = scratch.keep(fresh if prune is None else prune(following, fresh))
+        fresh = scratch.keep(prune(following, fresh))
         done = fresh.isEmpty()
         scratch.drop(held, frontier)
         if done:
@@ -130,7 +164,8 @@ def _starts(seeds: DataFrame, net: DataFrame, scenario: Scenario, quantum_j: flo
 
 def labels(net: DataFrame, scenario: Scenario, seeds: DataFrame, quantum_j: float = QUANTUM_J) -> DataFrame:
     """(node, e, d): per node the pairs of energy (quanta) and distance coasted since a seed (mm) that no other beats in both."""
-    return _search(net, scenario, _starts(seeds, net, scenario, quantum_j), ("node",), quantum_j, None).select("node", "e", "d")
+    starts = seeds.select(F.lit(0).alias("grp"), "node").where("node is not null").distinct()
+    return _blocked(net, scenario, starts, quantum_j).select("node", "e", "d")
 
 
 def reach_m(scenario: Scenario, e: Column, z: Column, lowest: Column, quantum_j: float = QUANTUM_J) -> Column:
@@ -142,11 +177,15 @@ def reach_m(scenario: Scenario, e: Column, z: Column, lowest: Column, quantum_j:
 
 
 def longest(net: DataFrame, scenario: Scenario, seeds: DataFrame, quantum_j: float = QUANTUM_J, beam: int | None = None) -> DataFrame:
-    """(grp, d): the longest distance (mm) coasted along whole edges by a rider who starts at a seed (grp, node) of each group.
+    """(grp, d): the longest distance (mm) coasted along whole edges by a rider who starts at a seed (grp, node) of each group; groups are whole numbers.
 
-    Exact: a label whose distance and bound on the rest do not pass the group's best is dropped. With ``beam`` only so many labels of a
-    group, the best by that sum, go on after each round: a heuristic whose results are never above the exact ones.
+    With ``beam`` only so many labels of a group, the best by their distance and a bound on the rest, go on after each round, and none whose sum does not
+    pass the group's best: a heuristic whose results are never above the exact ones.
     """
+    if beam is None:
+        kind = seeds.schema["grp"].dataType
+        starts = seeds.select("grp", "node").where("node is not null and grp is not null").distinct()
+        return _blocked(net, scenario, starts, quantum_j, farthest=True).select(F.col("grp").cast(kind).alias("grp"), "d")
     lowest = net.agg(F.min(F.least("za", "zb")).alias("lowest"))
 
     def prune(found: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -154,9 +193,8 @@ def longest(net: DataFrame, scenario: Scenario, seeds: DataFrame, quantum_j: flo
         hope = (F.col("d") + 1000.0 * reach_m(scenario, F.col("e"), F.col("z"), F.col("lowest"), quantum_j)).alias("hope")
         # One row: the least height of all.
         open_ = fresh.join(best, "grp").crossJoin(F.broadcast(lowest)).select(*fresh.columns, "best", hope).where("hope > best")
-        if beam is not None:
-            rank = F.row_number().over(W.partitionBy("grp").orderBy(F.desc("hope"), "node", F.desc("e"), F.desc("d")))
-            open_ = open_.withColumn("rank", rank).where(F.col("rank") <= beam)
+        rank = F.row_number().over(W.partitionBy("grp").orderBy(F.desc("hope"), "node", F.desc("e"), F.desc("d")))
+        open_ = open_.withColumn("rank", rank).where(F.col("rank") <= beam)
         return open_.select(*fresh.columns)
 
     starts = _starts(seeds, net, scenario, quantum_j, "grp")
@@ -172,10 +210,14 @@ def tiles(seeds: DataFrame, scenario: Scenario, lowest: DataFrame, coarse_m: flo
     return rows.select(F.col("node").alias("grp"), "node", at(coarse_m).alias("coarse"), at(fine_m).alias("fine"), (1000.0 * reach_m(scenario, start, F.col("z_m"), F.col("lowest"), quantum_j)).alias("hope"))
 
 
+#: Each search reads the edges anew, so that few of them must do.
+WIDER = 64
+
+
 def best_starts(net: DataFrame, scenario: Scenario, seeds: DataFrame, k: int, coarse_m: float = 4800.0, fine_m: float = 1200.0, quantum_j: float = QUANTUM_J) -> tuple[DataFrame, DataFrame]:
     """The ``k`` seeds (node, x_m, y_m, z_m) from which one coasts farthest, (node, d); and (tiles, tiles_read, seeds, seeds_read) of fine tiles.
 
-    Coarse to fine, with bounds: coarse tiles are opened in the order of their bounds, four first and twice as many each time; of an opened one, the fine
+    Coarse to fine, with bounds: coarse tiles are opened in the order of their bounds, four first and ``WIDER`` times as many each time; of an opened one, the fine
     tiles whose bound passes the k-th best so far are searched. It ends when no closed coarse tile's bound passes that. No seed of a tile
     that is left out can be among the best, ties included. Gathered on the driver: ``k`` distances and a threshold.
     """
@@ -194,7 +236,7 @@ def best_starts(net: DataFrame, scenario: Scenario, seeds: DataFrame, k: int, co
         found, read = (got, opened) if found is None else (found.union(got), read.union(opened))
         best = found.orderBy(F.desc("d"), "node").limit(k).agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("d")).head()
         threshold = best.d if best.n == k else -1
-        first, many = first + many, 2 * many
+        first, many = first + many, WIDER * many
     if found is None:
         empty = placed.select("node", F.lit(0).cast("long").alias("d"))
         return empty, placed.agg(*[F.lit(0).cast("long").alias(c) for c in ("tiles", "tiles_read", "seeds", "seeds_read")])
