@@ -84,3 +84,10 @@ def test_tables_of_what_is_missing_and_markdown(spark):
     assert writers.markdown(table.orderBy("item"), "Gaps") == "# Gaps\n\n| item | status |\n|---|---|\n| a | out of scope |\n| b | no source |\n"
     with pytest.raises(ValueError, match="more than 1 rows"):
         writers.markdown(table, "Gaps", 1)
+
+
+def test_smoothing_sorts_an_edge_twice(spark):
+    """Once in the order of samples and once in that of chainage."""
+    samples = spark.createDataFrame([(1, k, 10.0 * k, 0.0, float(k)) for k in range(3)], "edge_id long, sample_idx int, x_m double, y_m double, elevation_m double")
+    plan = profiles.smoothed(samples, 15.0, "s")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2

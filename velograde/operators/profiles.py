@@ -142,9 +142,11 @@ def smoothed(samples: DataFrame, half_window_m: float, scenario: str) -> DataFra
         raise ValueError("the window must be positive")
     known = F.when(finite(F.col("elevation_m")), F.col("elevation_m"))
     rows = with_chainage(samples.select("edge_id", "sample_idx", "x_m", "y_m", "elevation_m")).withColumn("known", known)
-    mean = F.expr(f"avg(known) over (partition by edge_id order by chainage_m range between {half_window_m!r}D preceding and {half_window_m!r}D following)")
+    # Windows in the order of samples come first, together: the edge is sorted once for them and once for the mean.
     w = _ordered()
-    inner = F.lag(F.lit(1)).over(w).isNotNull() & F.lead(F.lit(1)).over(w).isNotNull() & finite(F.col("chainage_m"))
+    rows = rows.withColumn("inner", F.lag(F.lit(1)).over(w).isNotNull() & F.lead(F.lit(1)).over(w).isNotNull())
+    mean = F.expr(f"avg(known) over (partition by edge_id order by chainage_m range between {half_window_m!r}D preceding and {half_window_m!r}D following)")
+    inner = F.col("inner") & finite(F.col("chainage_m"))
     value = F.when(F.col("known").isNotNull(), F.when(inner, mean).otherwise(F.col("known")))
     return rows.select("edge_id", "sample_idx", "chainage_m", "elevation_m", value.alias("smoothed_m"), F.lit(scenario).alias("scenario"))
 
