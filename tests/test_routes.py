@@ -220,3 +220,13 @@ def test_searches_over_blocks(spark):
     for s, _n, _e, d in states:
         longest[s] = max(longest.get(s, 0), d)
     assert {r.grp: r.d for r in routes.longest(net, SCENARIO, seeds).collect()} == longest
+
+
+def test_best_starts_take_few_tables(spark, monkeypatch):
+    """Three of seeds and tiles, and three of one search of one block."""
+    net, node = chain(spark, 0, 60)
+    seeds = spark.createDataFrame([(node(k), 50.0 * k, 0.0, 900.0 - k) for k in (0, 20)], "node long, x_m double, y_m double, z_m double")
+    kept = kept_tables(monkeypatch)
+    found = routes.best_starts(net, SCENARIO, seeds, 1)[0].collect()
+    want = max((d, -n) for s, _n, _e, d in walk(net, [(r.node, r.node) for r in seeds.collect()]) for n in (s,))
+    assert [(r.d, -r.node) for r in found] == [want] and len(kept) <= 6
