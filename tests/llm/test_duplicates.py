@@ -170,6 +170,24 @@ def test_few_unlike_copies_post_no_shingles_and_signatures_go(spark, monkeypatch
     assert not pathlib.Path(signed._velograde_path.removeprefix("file://")).exists()
 
 
+def test_tables_of_finished_steps_go(spark, monkeypatch):
+    made, plain = {}, near_dedup.table
+
+    def spy(df, name, codec=None):
+        made.setdefault(name, []).append(plain(df, name, codec))
+        return made[name][-1]
+
+    monkeypatch.setattr(near_dedup, "table", spy)
+    rows = near_corpus(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == brute(rows, 2, 80)
+    # The values of all coordinates are never shuffled at once.
+    assert len(made["near-shared"]) == near_dedup.COORDINATES // near_dedup.SLICE > 1
+    for name in ("near-shared", "near-representatives", "near-postings", "near-pairs", "near-best", "near-best-ids", "near-best-texts", "near-rest-texts", "near-members", "near-members-texts", "near-open"):
+        for df in made[name]:
+            assert not pathlib.Path(df._velograde_path.removeprefix("file://")).exists(), name
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(3, "one two three"), (3, "one two three"), (None, "one two three"), (None, None), (2, "One TWO three"), (7, "word " * 40_000)]
     got = sorted(map(tuple, near_dedup.near_duplicates(docs_of(spark, rows)).collect()), key=str)
