@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from velograde.functions.physics import Scenario, acceleration_m_s2, scenario_error, scenarios
@@ -125,3 +127,50 @@ def test_refused_runs(spark):
     assert [r["run_id"] for r in simulate.simulate(runs.where("run_id = 'good'"), strict=True).collect()] == ["good"]
     with pytest.raises(Exception, match="time_step_s must be positive"):
         simulate.simulate(runs.where("run_id in ('good', 'back')"), strict=True).collect()
+
+
+def some_runs(n: int, seed: int, odd: bool = False):
+    """Profiles one after the other, and parameters; ``odd``: with lengths, steps, winds and speeds where events meet."""
+    rng = np.random.default_rng(seed)
+    counts = rng.integers(1, 8, n)
+    lengths, grades = 10.0 + rng.integers(1, 51, counts.sum()), rng.integers(-10, 9, counts.sum()) / 100
+    p = {k: np.full(n, float(getattr(Scenario(), k))) for k in simulate.PARAMETERS}
+    if odd:
+        lengths = np.where(rng.random(len(lengths)) < 0.1, lengths * 10.0 ** rng.integers(-13, 1, len(lengths)), lengths)
+        values = {"time_step_s": (0.05, 0.5, 3.0, 60.0), "max_time_s": (0.03, 20.0, 60.0), "stop_speed_m_s": (0.0, 0.3, 4.0, 15.0 / 3.6), "stop_dwell_s": (0.0, 0.1, 30.0), "initial_speed_m_s": (1e-13, 0.3, 15.0 / 3.6, 40.0), "along_route_wind_m_s": (-20.0, 0.0, 30.0)}
+        p |= {k: rng.choice(v, n) for k, v in values.items()}
+    return counts, lengths, grades, p
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_whole_steps_give_the_bits_of_single_substeps(odd):
+    cases = some_runs(300, 5, odd)
+    one, many, single = simulate.Runs(*cases), simulate.Runs(*cases), []
+    live = np.flatnonzero(one.reason == 0)
+    while len(live):
+        one.advance(live)
+        live = live[one.reason[live] == 0]
+    plain = many.advance
+    many.advance = lambda k: plain(single.append(len(k)) or k)
+    for _ in many.rounds():
+        pass
+    for name in ("t", "d", "v", "reason", "steps", "still", "first_below", "first_zero"):
+        assert np.array_equal(getattr(one, name), getattr(many, name), equal_nan=True), name
+    assert odd or sum(single) < one.steps.sum() / 5
+
+
+def test_a_long_profile_does_not_pad_the_others():
+    counts = np.array([1] * 200 + [20_000])
+    lengths = np.linspace(0.1, 3.0, counts.sum())
+    _, _, _, p = some_runs(201, 1)
+    runs = simulate.Runs(counts, lengths, np.zeros(counts.sum()), p)
+    assert runs.ends.size == counts.sum()
+    assert np.array_equal(runs.ends[200:], np.cumsum(lengths[200:])) and runs.ends[7] == lengths[7]
+
+
+def test_small_batches_share_a_pool():
+    batches = [pa.record_batch({"k": list(range(at, at + 10))}) for at in range(0, 100, 10)]
+    pools = list(simulate._pools(iter(batches), 40))
+    assert [x.num_rows for x in pools] == [40, 40, 20]
+    assert [v for x in pools for v in x.column(0).to_pylist()] == list(range(100))
+    assert list(simulate._pools(iter([]), 40)) == []
