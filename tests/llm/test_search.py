@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from velograde.llm import decontamination, secrets
 
@@ -246,3 +247,17 @@ def test_every_verbatim_item_is_found(spark):
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs_of(spark, rows), bench).collect()}
     assert want <= got and {d for d, _ in got} == {d for d, _ in want}
     assert {r["doc_id"] for r in decontamination.clean(docs_of(spark, rows), bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
+def test_windows_of_documents_are_those_of_the_benchmark(spark):
+    """Each window comes once, in a second form only where it holds the beginning of a sentence; its hash is the benchmark's."""
+    rows = [(1, "We met Ann. The old car went 5 km to the red barn of Bob today"), (2, "only four words here"), (3, ""), (4, None)]
+    docs = docs_of(spark, rows).withColumn("key", F.col("doc_id").cast("string"))
+    got = [tuple(r) for r in decontamination.document_windows(docs, [0, 3]).select("doc_id", "pos", "h", "written").collect()]
+    want = set()
+    for r in decontamination.with_words(docs, F.col("text")).select("doc_id", "words", "named", *[decontamination.windows(n).alias(f"h_{n}") for n in ("words", "named")], decontamination.windows("plain", 3, decontamination.plain_salt(3)).alias("h3")).collect():
+        want |= {(r["doc_id"], k, h, True) for k, h in enumerate(r["h_words"])} | {(r["doc_id"], k, h, True) for k, h in enumerate(r["h3"])}
+        want |= {(r["doc_id"], k, h, False) for k, h in enumerate(r["h_named"]) if h != r["h_words"][k]}
+    # Sixteen words: twelve windows, four of them with a second form (We, The), and fourteen of three words.
+    assert len(got) == len(set(got)) and set(got) == want
+    assert [sum(1 for d, _, _, w in got if d == 1 and w is form) for form in (True, False)] == [26, 4]

@@ -27,6 +27,9 @@ other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +42,7 @@ LEAST = 3
 BROADCAST_WINDOWS = 1_000_000
 
 #: Sentence ends, numbers, words.
-TOKEN = r"[.!?\n]|\p{N}+(?:[.,]\p{N}+)*|\p{L}+"
+TOKEN = r"\p{L}++|[.!?\n]|\p{N}++(?:[.,]\p{N}++)*+"
 #: Units that turn into a placeholder after a number.
 UNITS = (
     "mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "lb", "oz", "ml", "l", "s", "min", "h", "day", "days", "hour", "hours",
@@ -56,13 +59,12 @@ AS_WRITTEN, NAMED, WHOLE = 0, 1, 2
 PLAIN = 3
 
 
-def tokenised(rows: DataFrame, text: Column) -> DataFrame:
-    """Add ``tokens`` and ``typed``: the template word of each token, null for sentence ends, marked where it may be a name.
+def tokens_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
-    Both are columns of steps of their own: an expression that a lambda refers to
-    would be evaluated for each element.
-    """
-    tokens = F.col("tokens")
+
+def typing(tokens: Column, word: Callable[[Column], Column], name: Callable[[Column], Column], placeholder: Callable[[str], Column]) -> Callable[[Column, Column], Column]:
+    """The function that gives, for a token and its place, what its template word is made to; null for sentence ends. word: of plain words, name: of words that may be names."""
 
     def one(t: Column, i: Column) -> Column:
         before = F.get(tokens, i - 1)
@@ -70,17 +72,38 @@ def tokenised(rows: DataFrame, text: Column) -> DataFrame:
         plain = F.lower(t)
         # Lower case is the usual case and comes first; digits and sentence ends sort before letters.
         return (
-            F.when((t == plain) & (t >= "A"), F.when(numeric(before) & t.isin(*UNITS), UNIT).otherwise(plain))
+            F.when((t == plain) & (t >= "A"), F.when(t.isin(*UNITS) & numeric(before), placeholder(UNIT)).otherwise(word(t)))
             .when((t < "0") | (t == "?"), F.lit(None))
-            .when(t == plain, NUMBER)
-            .when(numeric(before) & plain.isin(*UNITS), UNIT)
-            .when(F.substring(t, 2, 1) == F.upper(F.substring(t, 2, 1)), plain)
-            .when((i > 0) & ~before.isin(".", "!", "?", "\n"), NAME)
-            .otherwise(F.concat(F.lit(INITIAL), plain))
+            .when(t == plain, placeholder(NUMBER))
+            .when(plain.isin(*UNITS) & numeric(before), placeholder(UNIT))
+            .when(F.substring(t, 2, 1) == F.upper(F.substring(t, 2, 1)), word(plain))
+            .when((i > 0) & ~before.isin(".", "!", "?", "\n"), placeholder(NAME))
+            .otherwise(name(plain))
         )
 
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    return rows.withColumn("tokens", found).withColumn("typed", F.transform("tokens", one))
+    return one
+
+
+def tokenised(rows: DataFrame, text: Column) -> DataFrame:
+    """Add ``tokens`` and ``typed``: the template word of each token, null for sentence ends, marked where it may be a name.
+
+    Both are columns of steps of their own: an expression that a lambda refers to
+    would be evaluated for each element.
+    """
+    one = typing(F.col("tokens"), lambda w: w, lambda w: F.concat(F.lit(INITIAL), w), F.lit)
+    return rows.withColumn("tokens", tokens_of(text)).withColumn("typed", F.transform("tokens", one))
+
+
+def code(word: Column) -> Column:
+    """A template word as a number; its last bit is free for a mark."""
+    return F.xxhash64(word).bitwiseAND(F.lit(-2))
+
+
+def coded(rows: DataFrame, text: Column) -> DataFrame:
+    """Add ``tokens`` and ``codes``: the code of each template word, its last bit set where it may be a name."""
+    one = typing(F.col("tokens"), code, lambda w: F.xxhash64(w).bitwiseOR(F.lit(1)), lambda w: code(F.lit(w)))
+    codes = F.filter(F.transform("tokens", one), lambda x: x.isNotNull())
+    return rows.withColumn("tokens", tokens_of(text)).withColumn("codes", codes)
 
 
 def as_word(w: Column) -> Column:
@@ -107,13 +130,13 @@ def with_slots(rows: DataFrame, text: Column, name: str) -> DataFrame:
 def windows(words: str, size: int = WINDOW, *salt: Column) -> Column:
     """The hash of each window of so many words, in order; none for fewer words."""
     last = F.size(words) - size
-    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*salt, *[F.get(F.col(words), i + k) for k in range(size)]))
+    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*salt, *[code(F.get(F.col(words), i + k)) for k in range(size)]))
     return F.when(last >= 0, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
-def plain_windows(size: int) -> Column:
-    """The windows of plain words: apart from the templates' and from those of other lengths."""
-    return windows("plain", size, F.lit(f"plain {size}"))
+def plain_salt(size: int) -> Column:
+    """Windows of plain words are apart from the templates' and from those of other lengths."""
+    return F.lit(f"plain {size}")
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
@@ -143,23 +166,37 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     out = out.union(whole.select("item_id", F.lit(0).alias("size"), F.lit(WHOLE).alias("mode"), "at", "h", counts))
     for size in range(LEAST, WINDOW + 1):
         own = rest.where((F.col("n") >= size) & (F.lit(size == WINDOW) | (F.col("n") == size)))
-        out = out.union(own.select("item_id", F.lit(size).alias("size"), F.lit(PLAIN).alias("mode"), F.posexplode(plain_windows(size)).alias("at", "h"), F.lit(True).alias("counts")).select(*names))
+        out = out.union(own.select("item_id", F.lit(size).alias("size"), F.lit(PLAIN).alias("mode"), F.posexplode(windows("plain", size, plain_salt(size))).alias("at", "h"), F.lit(True).alias("counts")).select(*names))
     return out
 
 
 def document_windows(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """(key, doc_id, pos, h, written) of the windows of a document, all lengths in one pass; templates come in both forms."""
-    rows = with_words(docs, F.col("text"))
-    parts = [(n, True, plain_windows(n)) for n in sizes if n]
-    if 0 in sizes or not parts:
-        parts += [(WINDOW, True, windows("words")), (WINDOW, False, windows("named"))]
-    rows = rows.select("key", "doc_id", F.size("typed").alias("n"), F.posexplode(F.concat(*[p for _, _, p in parts])).alias("place", "h"))
-    # One array after the other: the place tells which one it is, and where the window is in that.
-    pos, written, end = F.col("place"), F.lit(parts[0][1]), F.lit(0)
-    for (size, _, _), (_, form, _) in zip(parts, parts[1:]):
-        end = end + F.greatest(F.col("n") - (size - 1), F.lit(0))
-        pos, written = F.when(F.col("place") >= end, F.col("place") - end).otherwise(pos), F.when(F.col("place") >= end, form).otherwise(written)
-    return rows.select("key", "doc_id", pos.alias("pos"), "h", written.alias("written"))
+    """(key, doc_id, pos, h, written) of the windows of a document, all lengths in one pass; templates come in both forms, in one where both are the same.
+
+    Words are hashed once, and their hashes for each window after its place was exploded: there Spark compiles what it interprets in lambdas. Outer, as
+    Spark adds a filter on the array's size to the other kind, which makes the tokens anew for each element; the place of an empty array is null and has no hash.
+    """
+    plain = [n for n in sizes if n]
+    rows = coded(docs, F.col("text"))
+    arrays = ["codes"]
+    if plain:
+        own = F.filter(F.transform("tokens", lambda t: F.when((t < "0") | (t == "?"), F.lit(None)).otherwise(code(F.lower(t)))), lambda x: x.isNotNull())
+        rows, arrays = rows.withColumn("plain", own), ["codes", "plain"]
+    rows = rows.select("key", "doc_id", *arrays, F.posexplode_outer("codes").alias("pos", "first"))
+    at = lambda words, n: [F.get(words, F.col("pos") + k) for k in range(n)]
+    fits = lambda h, n: F.when(F.col("pos") + n <= F.size("codes"), h)
+    forms = [fits(F.xxhash64(plain_salt(n), *at("plain", n)), n) for n in plain]
+    names = [f"code{k}" for k in range(WINDOW)]
+    rows = rows.select("key", "doc_id", "pos", *[c.alias(name) for c, name in zip(at("codes", WINDOW), names)], *[h.alias(f"form{k}") for k, h in enumerate(forms)])
+    hashes = [F.col(f"form{k}") for k in range(len(forms))]
+    if 0 in sizes or not plain:
+        marked = lambda c: F.col(c).bitwiseAND(F.lit(1)) == 1
+        fits = F.col(names[-1]).isNotNull()
+        some = reduce(Column.bitwiseOR, map(F.col, names)).bitwiseAND(F.lit(1)) == 1
+        hashes.append(F.when(fits, F.xxhash64(*[F.col(c).bitwiseAND(F.lit(-2)) for c in names])))
+        hashes.append(F.when(some, F.xxhash64(*[F.when(marked(c), code(F.lit(NAME))).otherwise(F.col(c)) for c in names])))
+    rows = rows.select("key", "doc_id", "pos", F.posexplode_outer(F.array(*hashes)).alias("form", "h")).where("h is not null")
+    return rows.select("key", "doc_id", "pos", "h", (F.col("form") <= len(forms)).alias("written"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = PERCENT) -> DataFrame:
