@@ -6,8 +6,10 @@ import hashlib
 import pathlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from velograde.llm import components, exact_dedup, near_dedup, passages
@@ -362,3 +364,15 @@ def test_slices_with_one_hash_are_told_apart_by_their_bytes():
     which, first = classes(data, starts, ends, np.zeros(5, np.uint64))
     assert [data[starts[first[w]] : ends[first[w]]].tobytes() for w in which] == [b"abc", b"abd", b"abc", b"abd", b"ab"]
     assert len(set(which.tolist())) == 3
+
+
+def test_postings_of_large_batches_take_little_memory():
+    """Texts are hashed in small chunks: the arrays over one are a few MB, whatever the batch holds."""
+    words = random.Random(4)
+    texts = [" ".join(str(words.randrange(10**6)) for _ in range(300)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in passages.post(1, iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 20_000 and peak < 40e6
