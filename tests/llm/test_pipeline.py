@@ -97,3 +97,21 @@ def test_stages_of_empty_tables(spark):
         docs = table(stage(spark, docs, DATA), f"test-empty-{name}")
         assert docs.count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == 0
+
+
+def test_a_grown_heap_of_the_driver_is_collected(monkeypatch):
+    """Beyond half of the limit, and not again at once."""
+    from types import SimpleNamespace as Own
+
+    from velograde.llm import workdir
+
+    runtime, done = Own(totalMemory=lambda: 300, maxMemory=lambda: 700), []
+    fake = Own(_jvm=Own(java=Own(lang=Own(Runtime=Own(getRuntime=lambda: runtime)))))
+    monkeypatch.setattr(workdir, "release", done.append)
+    monkeypatch.setattr(workdir, "_settled", [float("-inf")])
+    workdir.settle(fake)
+    assert not done
+    runtime.totalMemory = lambda: 400
+    workdir.settle(fake)
+    workdir.settle(fake)
+    assert done == [fake]
