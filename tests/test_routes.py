@@ -230,3 +230,23 @@ def test_best_starts_take_few_tables(spark, monkeypatch):
     found = routes.best_starts(net, SCENARIO, seeds, 1)[0].collect()
     want = max((d, -n) for s, _n, _e, d in walk(net, [(r.node, r.node) for r in seeds.collect()]) for n in (s,))
     assert [(r.d, -r.node) for r in found] == [want] and len(kept) <= 6
+
+
+def test_beams_take_a_table_a_block_and_equal_rounds(spark, monkeypatch):
+    """A beam goes through a block in one pass, however many edges it rides; passes in blocks give what rounds over all labels give."""
+    net, node = chain(spark, 8000, 60)
+    seeds = spark.createDataFrame([(1, node(0))], "grp long, node long")
+    kept = kept_tables(monkeypatch)
+    want = max(d for *_, d in walk(net, [(1, node(0))]))
+    assert [tuple(r) for r in routes.longest(net, SCENARIO, seeds, beam=8).collect()] == [(1, want)] and len(kept) <= 5
+    monkeypatch.undo()
+    rows = [(e, k, x + 6200.0, y - 2000.0, *rest) for e, k, x, y, *rest in samples_of(random.Random(9), 40, 90)]
+    net = graph.network(spark.createDataFrame(rows, "edge_id long, sample_idx int, x_m double, y_m double, elevation_m double, a string")).cache()
+    seeds = graph.nodes(net).select((F.col("node") % 3).alias("grp"), "node").orderBy("node").limit(6).cache()
+    for width in (1, 3):
+        inside = sorted(tuple(r) for r in routes.longest(net, SCENARIO, seeds, beam=width).collect())
+        with monkeypatch.context() as m:
+            m.setattr(routes, "SHIFTS", routes.SHIFTS[:1])
+            assert sorted(tuple(r) for r in routes.longest(net, SCENARIO, seeds, beam=width).collect()) == inside
+            rounds = routes._relaxed_beam(net, SCENARIO, seeds, 1.0, width, net.agg(F.min(F.least("za", "zb"))).head()[0])
+            assert sorted(tuple(r) for r in rounds.collect()) == inside

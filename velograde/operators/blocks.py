@@ -19,16 +19,21 @@ from velograde.shipping import ship
 #: A block's side in cells is two to this power.
 SIDE_BITS = 14
 ROWS = 200_000
+#: Half a side: blocks lie around the origin, not beside it, as many coordinates begin there.
+HALF = 2 ** (SIDE_BITS - 1)
+Shift = tuple[int, int]
 
 
-def block(node: Column) -> Column:
-    """The block of a node, as one number."""
-    return F.shiftright(node, 32 + SIDE_BITS) * F.lit(2 ** (32 - SIDE_BITS)) + F.shiftright(node, SIDE_BITS).bitwiseAND(F.lit(2 ** (32 - SIDE_BITS) - 1))
+def block(node: Column, shift: Shift = (HALF, HALF)) -> Column:
+    """The block of a node, as one number; ``shift``: by how many cells along and across blocks begin before the origin."""
+    x = F.shiftright(F.shiftright(node, 32) + F.lit(shift[0]), SIDE_BITS)
+    y = F.shiftright(node.bitwiseAND(F.lit(2**32 - 1)) + F.lit(shift[1]), SIDE_BITS)
+    return x * F.lit(2 ** (33 - SIDE_BITS)) + y
 
 
-def block_of(node: np.ndarray) -> np.ndarray:
+def block_of(node: np.ndarray, shift: Shift = (HALF, HALF)) -> np.ndarray:
     """:func:`block` of an array."""
-    return (node >> (32 + SIDE_BITS)) * 2 ** (32 - SIDE_BITS) + ((node >> SIDE_BITS) & (2 ** (32 - SIDE_BITS) - 1))
+    return ((node >> 32) + shift[0] >> SIDE_BITS) * 2 ** (33 - SIDE_BITS) + ((node & (2**32 - 1)) + shift[1] >> SIDE_BITS)
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -107,6 +112,14 @@ def skyline(grp: np.ndarray, node: np.ndarray, e: np.ndarray, d: np.ndarray, fre
     return order[keep]
 
 
+def ways(a: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of edges in the order of their beginnings ``a``, those that leave each of the nodes: places of nodes and of edges."""
+    first = np.searchsorted(a, node)
+    many = np.searchsorted(a, node, "right") - first
+    of = np.repeat(np.arange(len(many)), many)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+
+
 LABELS = "grp long, node long, e long, d long, leaves boolean"
 
 
@@ -131,10 +144,7 @@ def coast(least: int, quantum_j: float, farthest: bool) -> Callable[[pa.Table],
         held = [x[best] for x in held]
         front = held
         while len(front[0]):
-            first = np.searchsorted(a, front[1])
-            many = np.searchsorted(a, front[1], "right") - first
-            of = np.repeat(np.arange(len(many)), many)
-            edge = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+            of, edge = ways(a, front[1])
             e = np.floor((front[2][of] * quantum_j * keep[edge] + gain[edge]) / quantum_j).astype(np.int64)
             go = e > least
             of, edge = of[go], edge[go]
@@ -158,3 +168,57 @@ def coast(least: int, quantum_j: float, farthest: bool) -> Callable[[pa.Table],
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*held, leaves)], names=["grp", "node", "e", "d", "leaves"])
 
     return step
+
+
+BEAMS = "grp long, d long, leaves boolean"
+
+
+def beam(least: int, quantum_j: float, width: int, reach: Callable[[np.ndarray, np.ndarray], np.ndarray], shift: Shift) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
+    """A step over edges (block, node, b, z: of b, keep, gain_j, d: length) and first labels (block, node, grp, e; b null), all of a group in one block: the most d of each group.
+
+    ``reach(e, z)`` bounds the metres that are left. Groups do not see each other, so each goes on for all its rounds here; one that has to go on
+    at a node of a block that is not here has ``leaves`` instead.
+    """
+
+    def step(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        is_edge = pc.is_valid(table.column("b"))
+        edges, labels = table.filter(is_edge), table.filter(pc.invert(is_edge))
+        if not labels.num_rows:
+            return
+        here = np.unique(numbers(table, "block"))
+        a = numbers(edges, "node")
+        order = np.argsort(a, kind="stable")
+        a = a[order]
+        b, z, keep, gain, length = (numbers(edges, c)[order] for c in ("b", "z", "keep", "gain_j", "d"))
+        held = [numbers(labels, c) for c in ("grp", "node", "e")]
+        held.append(np.zeros(len(held[0]), np.int64))
+        groups = np.unique(held[0])
+        best, gone = np.zeros(len(groups), np.int64), np.zeros(len(groups), bool)
+        front = held
+        while len(front[0]):
+            away = ~np.isin(block_of(front[1], shift), here)
+            if away.any():
+                gone[np.searchsorted(groups, front[0][away])] = True
+                held, front = ([x[~gone[np.searchsorted(groups, rows[0])]] for x in rows] for rows in (held, front))
+            of, edge = ways(a, front[1])
+            e = np.floor((front[2][of] * quantum_j * keep[edge] + gain[edge]) / quantum_j).astype(np.int64)
+            go = e > least
+            of, edge = of[go], edge[go]
+            grown = [front[0][of], b[edge], e[go], front[3][of] + length[edge]]
+            near = np.isin(held[1], grown[1])
+            both = [np.concatenate([x[near], y]) for x, y in zip(held, grown, strict=True)]
+            fresh = np.arange(len(both[0])) >= np.count_nonzero(near)
+            stay = skyline(*both, fresh)
+            held = [np.concatenate([x[~near], y[stay]]) for x, y in zip(held, both, strict=True)]
+            new = stay[fresh[stay]]
+            grp, node, e, d = (x[new] for x in both)
+            group = np.searchsorted(groups, grp)
+            np.maximum.at(best, group, d)
+            hope = d + 1000.0 * reach(e, z[edge[new - np.count_nonzero(near)]])
+            order = np.lexsort((-d, -e, node, -hope, grp))
+            order = order[(hope > best[group])[order]]
+            order = order[np.arange(len(order)) - np.searchsorted(grp[order], grp[order]) < width]
+            front = [x[order] for x in (grp, node, e, d)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (groups, best, gone)], names=["grp", "d", "leaves"])
+
+    return step

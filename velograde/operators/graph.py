@@ -54,8 +54,11 @@ def network_of_ends(ends: DataFrame, snap_m: float = SNAP_M) -> DataFrame:
     """The same of edges (edge_id, p, q, horizontal_length_m) with the ends p and q, each row an edge whatever its id."""
     ends = ends.where(_placed())
     ends = ends.select("edge_id", *[node_id(F.col(f"{e}.x_m"), F.col(f"{e}.y_m"), snap_m).alias(n) for e, n in (("p", "a"), ("q", "b"))], F.col("p.elevation_m").alias("za"), F.col("q.elevation_m").alias("zb"), "horizontal_length_m")
+    # Both are read several times.
+    scratch = Scratch(ends.sparkSession, "ends")
+    ends = scratch.keep(ends)
     both = ends.select(F.col("a").alias("node"), F.col("za").alias("z")).union(ends.select("b", "zb"))
-    heights = both.groupBy("node").agg(F.min("z").alias("z"))
+    heights = scratch.keep(both.groupBy("node").agg(F.min("z").alias("z")))
     of = lambda n: heights.select(F.col("node").alias(n), F.col("z").alias(f"z{n}"))
     return ends.drop("za", "zb").join(of("a"), "a").join(of("b"), "b").select("edge_id", "a", "b", "za", "zb", "horizontal_length_m")
 

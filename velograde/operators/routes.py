@@ -6,7 +6,8 @@ is at both ends. The state is the energy in whole quanta, rounded down after eac
 more energy at a node is never worse. Distances are whole millimetres, for the same reason. A rider goes on while the energy is above that of the stopping speed.
 
 Every exact search goes on inside blocks of the plane until nothing improves there; a round hands the states that leave a block to the next one, for which only
-those blocks are read. A beam relaxes a frontier: states that go on after one round are joined to the edges that leave their nodes. Friction takes energy on every metre and
+those blocks are read. The groups of a beam are apart: each goes through all its rounds in the block where it begins. One that has to leave that begins anew in blocks that
+lie otherwise, and what leaves all of these relaxes a frontier: states that go on after one round are joined to the edges that leave their nodes. Friction takes energy on every metre and
 nodes have one height, so states that come back to a node have less energy and searches end. The tables of rounds cut the lineage.
 
 Defined cases: seeds that are null or at no node of the graph yield themselves only; repeated seeds count once; edges without a grade within 0.5 are not ridden; edges in parallel are tried each;
@@ -74,9 +75,17 @@ def best_energy(net: DataFrame, scenario: Scenario, seeds: DataFrame, quantum_j:
 BLOCKS_SENT = 200_000
 
 
-def _blocked(net: DataFrame, scenario: Scenario, starts: DataFrame, quantum_j: float, energy_only: bool = False, farthest: bool = False) -> DataFrame:
+def _active(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The edges of the blocks that labels are in."""
+    active = labels.select("block").distinct()
+    return edges.join(F.broadcast(active) if active.limit(BLOCKS_SENT + 1).count() <= BLOCKS_SENT else active, "block", "left_semi")
+
+
+def _blocked(net: DataFrame, scenario: Scenario, starts: DataFrame, quantum_j: float, energy_only: bool = False, farthest: bool = False, few: bool = False) -> DataFrame:
     """The labels (grp, node, e, d) of starts (grp, node) that no other of group and node beats; with ``energy_only`` d is 0, with ``farthest`` (grp, d) alone.
 
+    With ``few`` the first round, too, reads only the blocks that starts are in.
+
     A label that comes into a block again, beaten or not, is gone on with there once more: that costs time, not labels.
     """
     scratch = Scratch(net.sparkSession, "blocks")
@@ -90,10 +99,7 @@ def _blocked(net: DataFrame, scenario: Scenario, starts: DataFrame, quantum_j: f
     rounds = []
     while True:
         labels = entering.withColumn("block", block)
-        read = edges
-        if rounds:
-            active = labels.select("block").distinct()
-            read = edges.join(F.broadcast(active) if active.limit(BLOCKS_SENT + 1).count() <= BLOCKS_SENT else active, "block", "left_semi")
+        read = _active(edges, labels) if rounds or few else edges
         done = scratch.keep(blocks.by_block(read.unionByName(labels, allowMissingColumns=True), step, blocks.LABELS))
         rounds.append(done)
         entering = done.where("leaves").select("grp", "node", "e", "d")
@@ -176,23 +182,59 @@ def reach_m(scenario: Scenario, e: Column, z: Column, lowest: Column, quantum_j:
     return (e * quantum_j + weight * (z - lowest)) / friction
 
 
-def longest(net: DataFrame, scenario: Scenario, seeds: DataFrame, quantum_j: float = QUANTUM_J, beam: int | None = None) -> DataFrame:
+def longest(net: DataFrame, scenario: Scenario, seeds: DataFrame, quantum_j: float = QUANTUM_J, beam: int | None = None, few: bool = False) -> DataFrame:
     """(grp, d): the longest distance (mm) coasted along whole edges by a rider who starts at a seed (grp, node) of each group; groups are whole numbers.
 
     With ``beam`` only so many labels of a group, the best by their distance and a bound on the rest, go on after each round, and none whose sum does not
-    pass the group's best: a heuristic whose results are never above the exact ones.
+    pass the group's best: a heuristic whose results are never above the exact ones. ``few``: seeds are in few of the blocks.
     """
     if beam is None:
         kind = seeds.schema["grp"].dataType
         starts = seeds.select("grp", "node").where("node is not null and grp is not null").distinct()
-        return _blocked(net, scenario, starts, quantum_j, farthest=True).select(F.col("grp").cast(kind).alias("grp"), "d")
-    lowest = net.agg(F.min(F.least("za", "zb")).alias("lowest"))
+        return _blocked(net, scenario, starts, quantum_j, farthest=True, few=few).select(F.col("grp").cast(kind).alias("grp"), "d")
+    return _beam(net, scenario, seeds, quantum_j, beam)
+
+
+#: How blocks lie in the passes of a beam: groups that cross an edge of one lie inside one of another.
+SHIFTS = ((blocks.HALF, blocks.HALF), (0, blocks.HALF), (blocks.HALF, 0), (0, 0))
+
+
+def _beam(net: DataFrame, scenario: Scenario, seeds: DataFrame, quantum_j: float, beam: int) -> DataFrame:
+    scratch = Scratch(net.sparkSession, "beam")
+    kind = seeds.schema["grp"].dataType
+    # One row: the least height of all.
+    least_z = net.agg(F.min(F.least("za", "zb"))).head()[0] or 0.0
+    reach = lambda e, z: reach_m(scenario, e, z, least_z, quantum_j)
+    nothing = F.lit(None).cast("long")
+    edges = scratch.keep(rideable(net, scenario).select(F.col("a").alias("node"), "b", F.col("zb").alias("z"), "keep", "gain_j", F.col("length_mm").alias("d"), nothing.alias("grp"), nothing.alias("e")))
+    start = F.lit(energy(scenario.initial_speed_m_s, scenario, quantum_j)).cast("long").alias("e")
+    left = seeds.select(F.col("grp").cast("long").alias("grp"), "node").where("node is not null and grp is not null").distinct()
+    found = []
+    for shift in SHIFTS:
+        homes = left.groupBy("grp").agg(F.min("node").alias("home")).select("grp", blocks.block(F.col("home"), shift).alias("block"))
+        labels = left.join(homes, "grp").select("block", "grp", "node", start)
+        read = edges.withColumn("block", blocks.block(F.col("node"), shift))
+        step = blocks.beam(_least(scenario, quantum_j), quantum_j, beam, reach, shift)
+        done = scratch.keep(blocks.by_block((_active(read, labels) if found else read).unionByName(labels, allowMissingColumns=True), step, blocks.BEAMS))
+        found.append(done.where("not leaves").select("grp", "d"))
+        left = scratch.keep(left.join(done.where("leaves").select("grp"), "grp", "left_semi"))
+        if left.isEmpty():
+            break
+    else:
+        found.append(_relaxed_beam(net, scenario, left, quantum_j, beam, least_z))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.select(F.col("grp").cast(kind).alias("grp"), "d")
+
+
+def _relaxed_beam(net: DataFrame, scenario: Scenario, seeds: DataFrame, quantum_j: float, beam: int, least_z: float) -> DataFrame:
+    """The same for groups of any reach, a round at a time."""
 
     def prune(found: DataFrame, fresh: DataFrame) -> DataFrame:
         best = found.groupBy("grp").agg(F.max("d").alias("best"))
-        hope = (F.col("d") + 1000.0 * reach_m(scenario, F.col("e"), F.col("z"), F.col("lowest"), quantum_j)).alias("hope")
-        # One row: the least height of all.
-        open_ = fresh.join(best, "grp").crossJoin(F.broadcast(lowest)).select(*fresh.columns, "best", hope).where("hope > best")
+        hope = (F.col("d") + 1000.0 * reach_m(scenario, F.col("e"), F.col("z"), F.lit(least_z), quantum_j)).alias("hope")
+        open_ = fresh.join(best, "grp").select(*fresh.columns, "best", hope).where("hope > best")
         rank = F.row_number().over(W.partitionBy("grp").orderBy(F.desc("hope"), "node", F.desc("e"), F.desc("d")))
         open_ = open_.withColumn("rank", rank).where(F.col("rank") <= beam)
         return open_.select(*fresh.columns)
@@ -232,7 +274,7 @@ def best_starts(net: DataFrame, scenario: Scenario, seeds: DataFrame, k: int, co
     while not (batch := coarse.where(F.col("rank").between(first, first + many - 1) & (F.col("hope") >= threshold))).isEmpty():
         opened = scratch.keep(fine.where(F.col("hope") >= threshold).join(batch.select("coarse"), "coarse").select("coarse", "fine"))
         here = placed.join(opened, ["coarse", "fine"]).where(F.col("hope") >= threshold).select("grp", "node")
-        got = scratch.keep(longest(net, scenario, here, quantum_j).withColumnRenamed("grp", "node"))
+        got = scratch.keep(longest(net, scenario, here, quantum_j, few=found is None).withColumnRenamed("grp", "node"))
         found, read = (got, opened) if found is None else (found.union(got), read.union(opened))
         best = found.orderBy(F.desc("d"), "node").limit(k).agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("d")).head()
         threshold = best.d if best.n == k else -1
