@@ -82,3 +82,17 @@ def test_runs_over_batches_and_wide_ids():
     batches = [pa.RecordBatch.from_arrays([key.slice(i, 1), pa.array([2])], names=["key", "n"]) for i in range(6)]
     found = [(k.as_py(), f.as_py()) for b in collocations.summed(16, 4, iter(batches)) for k, f in zip(*b.columns, strict=True)]
     assert found == [(key[0].as_py(), 4), (key[3].as_py(), 4)]
+
+
+def test_pairs_of_four_byte_ids_are_sorted_as_numbers():
+    """Ids beyond 2**31 included, where packed numbers are negative; runs go on over batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    x, y = np.array([1, 1, 2**31, 2**31, 2**32 - 1]), np.array([2, 2, 7, 7, 2**32 - 1])
+    key = collocations.packed(x, y)
+    order = np.argsort(key.view(np.int64), kind="stable")
+    batches = [pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)[i : i + 1]), pa.array([2])], names=["key", "n"]) for i in order]
+    found = {(k.as_py(), f.as_py()) for b in collocations.summed_numbers(4, lambda k: collocations.keys(collocations.unpacked(k), 4), iter(batches)) for k, f in zip(*b.columns, strict=True)}
+    want = collocations.keys([x, y], 4)
+    assert found == {(want[0].as_py(), 4), (want[2].as_py(), 4)}

@@ -5,10 +5,10 @@
 2. Words that occur ``least`` times in their language form the dictionary; its ids are dense and stand for (language, word). A phrase
    with ``least`` occurrences has only such words, so pieces break at all others.
 3. Each block meets its own words' ids (a join on words, which a block holds once each, then one on the block) and is kept as ids.
-   It counts its pairs by runs of sorted numbers. The pairs' fixed-width binary keys go through a range partition and Spark's radix sort on their
-   prefixes (eight bytes, the whole key of a pair); equal keys then stand in a run, and runs are summed up as they pass by.
+   It counts its pairs by runs of sorted numbers. The pairs' fixed-width keys go through a range partition and a sort; equal keys then stand in a run, and
+   runs are summed up as they pass by. Two ids of four bytes are one whole number, which Spark sorts by radix; binary keys, for more words, it compares.
 4. Triples are keyed the same way, from places where both pairs are frequent. Up to ``BROADCAST_PAIRS`` frequent pairs (8 bytes each) are
-   sent to the tasks; more of them are joined to the blocks that hold them.
+   sent to the tasks, so that a pair's place among them and a word are one whole number; more of them are joined to the blocks that hold them.
 5. A phrase's cuts look their parts up by key. Products are decimals of 38 digits: exact for counts below 10**15.
 
 No step holds more than a block, and no word or phrase is more than one row of a block: a hot word or
@@ -20,7 +20,7 @@ phrase in byte order decides; languages without candidates and empty tables have
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -154,17 +154,44 @@ def _triples(width: int, ids: np.ndarray, pair: np.ndarray, good: np.ndarray) ->
     return keys([ids[x], ids[y], ids[z]], width), pa.array(n, pa.int64())
 
 
+NUMBERED = "key long, n long"
+
+
+def packed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Two numbers of four bytes as one."""
+    return (x.astype(np.uint64) << np.uint64(32)) | y.astype(np.uint64)
+
+
+def unpacked(key: np.ndarray) -> list[np.ndarray]:
+    return [key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)]
+
+
+def packed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of each block, ids of four bytes packed into one number, and how often they stand there."""
+    for batch in batches:
+        for data in batch.column(1).to_pylist():
+            ids, pair, good = local(4, data)
+            pair = np.sort(pair[good])
+            begin, n = runs(pair)
+            x, y = _ends(pair[begin])
+            yield pa.RecordBatch.from_arrays([pa.array(packed(ids[x], ids[y]).view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
+
+
 def triples_of(frequent: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The triples of each block whose two pairs are among ``frequent`` (sorted, four bytes an id)."""
+    """The triples of each block whose two pairs are among ``frequent`` (sorted, packed): the first pair's place in it and the last id, packed."""
     for batch in batches:
         for data in batch.column(1).to_pylist():
             ids, pair, good = local(4, data)
             distinct, place = np.unique(pair, return_inverse=True)
             x, y = _ends(distinct)
-            packed = (ids[x].astype(np.uint64) << np.uint64(32)) | ids[y].astype(np.uint64)
-            at = np.minimum(np.searchsorted(frequent, packed), max(0, len(frequent) - 1))
-            known = frequent[at] == packed if len(frequent) else np.zeros(len(packed), bool)
-            yield pa.RecordBatch.from_arrays([*_triples(4, ids, pair, good & known[place])], names=["key", "n"])
+            wanted = packed(ids[x], ids[y])
+            at = np.minimum(np.searchsorted(frequent, wanted), max(0, len(frequent) - 1))
+            known = frequent[at] == wanted if len(frequent) else np.zeros(len(wanted), bool)
+            good &= known[place]
+            here = np.flatnonzero(good[:-1] & good[1:])
+            triple = np.sort((at[place[here]] << 32) | ids[pair[here + 1] & 0xFFFFFFFF])
+            begin, n = runs(triple)
+            yield pa.RecordBatch.from_arrays([pa.array(triple[begin], pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
 
 
 def joined_triples(width: int, blocks: pa.Table, frequent: pa.Table) -> pa.Table:
@@ -205,6 +232,34 @@ def summed(width: int, least: int, batches: Iterator[pa.RecordBatch]) -> Iterato
         yield rows([held[0]], [held[1]])
 
 
+def summed_numbers(least: int, spelled: Callable[[np.ndarray], pa.Array], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same of keys that are numbers, given out as ``spelled`` writes them."""
+    held: tuple[np.ndarray, np.ndarray] | None = None
+
+    def rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        often = n >= least
+        return pa.RecordBatch.from_arrays([spelled(key[often].view(np.uint64)), pa.array(n[often], pa.int64())], names=["key", "f"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if held is not None:
+            key, n = np.concatenate([held[0], key]), np.concatenate([held[1], n])
+        begin, _ = runs(key)
+        total = np.add.reduceat(n, begin)
+        held = key[begin[-1:]], total[-1:]
+        yield rows(key[begin[:-1]], total[:-1])
+    if held is not None:
+        yield rows(*held)
+
+
+def counted_numbers(rows: DataFrame, least: int, spelled: Callable[[np.ndarray], pa.Array]) -> DataFrame:
+    """:func:`counted` of keys that are numbers."""
+    ordered = rows.select("key", "n").repartitionByRange("key").sortWithinPartitions("key")
+    return ordered.mapInArrow(lambda batches: summed_numbers(least, spelled, batches), "key binary, f long")
+
+
 def counted(rows: DataFrame, size: int, least: int) -> DataFrame:
     """(key, f) of rows (key, n) with keys of ``size`` bytes: range partition, sort, sums of runs."""
     ordered = rows.select("key", "n").repartitionByRange("key").sortWithinPartitions("key")
@@ -254,18 +309,27 @@ def phrases(docs: DataFrame, least: int = LEAST, covered_percent: int = COVERED_
     drop(own)
     drop(scanned)
     release(spark)
-    pairs = texts.mapInArrow(lambda batches: pairs_of(width, False, batches), COUNTED)
-    twos = table(counted(pairs, 2 * width, least), "collocation-twos")
+    if width == 4:
+        twos = counted_numbers(texts.mapInArrow(packed_pairs, NUMBERED), least, lambda key: keys(unpacked(key), 4))
+    else:
+        twos = counted(texts.mapInArrow(lambda batches: pairs_of(width, False, batches), COUNTED), 2 * width, least)
+    twos = table(twos, "collocation-twos")
     release(spark)
     if width == 4 and rows_below(twos, broadcast_pairs):
-        packed = twos.select(F.conv(F.hex("key"), 16, -10).cast("long").alias("pair")).toArrow()["pair"].to_numpy()
-        sent = spark.sparkContext.broadcast(np.sort(packed.view(np.uint64)))
-        triples = texts.mapInArrow(lambda batches: triples_of(sent.value, batches), COUNTED)
+        frequent = twos.select(F.conv(F.hex("key"), 16, -10).cast("long").alias("pair")).toArrow()["pair"].to_numpy()
+        sent = spark.sparkContext.broadcast(np.sort(frequent.view(np.uint64)))
+
+        def spelled(key: np.ndarray) -> pa.Array:
+            pair, last = unpacked(key)
+            return keys([*unpacked(sent.value[pair.astype(np.int64)]), last], 4)
+
+        triples = counted_numbers(texts.mapInArrow(lambda batches: triples_of(sent.value, batches), NUMBERED), least, spelled)
     else:
         held = texts.mapInArrow(lambda batches: pairs_of(width, True, batches), f"block long, {COUNTED}")
         frequent = held.join(twos, "key", "left_semi").select("block", "key")
         triples = texts.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(lambda of, rows: joined_triples(width, of, rows), COUNTED)
-    threes = table(counted(triples, 3 * width, least), "collocation-threes")
+        triples = counted(triples, 3 * width, least)
+    threes = table(triples, "collocation-threes")
     drop(texts)
     release(spark)
 
